@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +22,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int
     rows = docs.select("doc_id", "text").join(F.broadcast(taken[0].union(taken[1])), "doc_id").where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes).select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.limit(2 * per_class).collect()
     return [(r["y"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["text"]))], sizes
+
+
+def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of Platt scaling."""
+    a = np.stack([x, np.ones(len(x))], 1)
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        grad = a.T @ (weight * (p - target)) + 1e-3 * w * [1, 0]
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 1e-9]), grad)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0]), float(w[1])

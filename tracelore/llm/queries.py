@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelore.llm import line_rules, mixing, packing, token_counts, toxicity
+from tracelore.llm import line_rules, mixing, packing, quality_crf, token_counts, toxicity
 from tracelore.llm.textkit import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op5_quality_rules, op6_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op5_quality_rules, op6_mixing, op10_token_counts)}
 ORACLE_SQL = {"op5_quality_rules": line_rules.RULES_SQL, "op6_mixing": mixing.MIX_SQL}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelore.llm.labelled import sample
+from tracelore.llm.labelled import logistic, sample
 from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, prefix_hash, span_hash, word_bounds
 
 #: Kernel: subsequence length, weight of a letter's place, power of the normalised kernel.
@@ -286,20 +286,6 @@ def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2)
     return w
 
 
-def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of Platt scaling."""
-    a = np.stack([x, np.ones(len(x))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - target)) + 1e-3 * w * [1, 0]
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 1e-9]), grad)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1])
-
-
 def worst(doc: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Marks the sentence with the highest score of each document, the first among equals."""
     order = np.lexsort((np.arange(len(doc)), -score, doc))
