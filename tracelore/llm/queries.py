@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelore.llm import hmm_lm, line_rules, mixing, packing, quality_crf, token_counts, toxicity, vector_graph
+from tracelore.llm import hmm_lm, line_rules, mixing, ngram_join, packing, quality_crf, token_counts, toxicity, vector_graph
 from tracelore.llm.textkit import table
 
 
@@ -20,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.rule_report(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op5_quality_rules, op6_mixing, op7_lm_scoring, op9_embedding_near_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op4_ngram_jaccard_join, op5_quality_rules, op6_mixing, op7_lm_scoring, op9_embedding_near_dedup, op10_token_counts)}
 ORACLE_SQL = {"op5_quality_rules": line_rules.RULES_SQL, "op6_mixing": mixing.MIX_SQL}
