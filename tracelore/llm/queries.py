@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelore.llm import hmm_lm, line_rules, mixing, ngram_join, packing, quality_crf, token_counts, toxicity, vector_graph
+from tracelore.llm import hmm_lm, line_rules, mixing, ngram_join, packing, quality_crf, suffix_dedup, token_counts, toxicity, vector_graph
 from tracelore.llm.textkit import table
 
 
@@ -36,6 +36,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.lm_report(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -44,5 +48,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op4_ngram_jaccard_join, op5_quality_rules, op6_mixing, op7_lm_scoring, op9_embedding_near_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op4_ngram_jaccard_join, op5_quality_rules, op6_mixing, op7_lm_scoring, op8_suffix_dedup, op9_embedding_near_dedup, op10_token_counts)}
 ORACLE_SQL = {"op5_quality_rules": line_rules.RULES_SQL, "op6_mixing": mixing.MIX_SQL}
