@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelore.llm.mixing import size_of
+from tracelore.llm.textkit import stored
 
 #: Production parameters: buckets, and padded tokens that a batch holds.
 BUCKETS, BUDGET = 16, 65_536
@@ -87,15 +88,13 @@ def pack(docs: DataFrame, *, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     the last; every batch holds at most max(1, budget // bucket_len) documents. Null and empty
     texts have 0 tokens and are packed like others. Repeated rows each get their own slot.
     """
-    rows = docs.select("doc_id", size_of(F.col("text")).alias("n_tokens"))
+    # two numbers per document, counted once and read three times
+    rows = stored(docs.select("doc_id", size_of(F.col("text")).alias("n_tokens")), "lengths")
     bounds = plan_buckets(rows.select(F.col("n_tokens").alias("length")), buckets)
     if not bounds:
         return rows.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_len"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("padding"))
-    length = rounded(F.col("n_tokens"))
-    bucket = F.lit(0)
-    for x in bounds[:-1]:
-        bucket = bucket + (length > x).cast("int")
-    rows = rows.withColumn("bucket", bucket).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
+    rows = rows.withColumn("_l", rounded(F.col("n_tokens"))).withColumn("bucket", sum(((F.col("_l") > x).cast("int") for x in bounds[:-1]), F.lit(0))).drop("_l")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("doc_id", "n_tokens")) - 1)
     cells = rows.groupBy("bucket", "cell").agg(F.count("*").alias("n"))
     before = cells.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("n")
