@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelore.llm.textkit import WORD
+from tracelore.llm.textkit import WORD, stored
 
 #: Weights of the sources in code-point order, repeated; percent of all sizes to share; most copies.
 WEIGHTS, SHARE_PERCENT, CAP = (3, 1, 2), 150, 2
@@ -62,7 +62,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     of size 0 stand first in their source and come out like any other, taking no words.
     Equal rows share their copies as equals. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), _slot(F.col("doc_id")).alias("slot"))
+    # a few numbers per document, counted once and read three times
+    rows = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), _slot(F.col("doc_id")).alias("slot")), "sizes")
     cells = rows.groupBy("source", "size", "slot").agg(F.count("*").alias("n"))
     # counts per (source, size), then per (source, band of sizes): no window has more rows than there are sizes in a band
     flat = cells.groupBy("source", "size").agg(F.sum("n").alias("n")).withColumn("band", F.floor(F.sqrt("size")))
