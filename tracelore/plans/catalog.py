@@ -1,17 +1,10 @@
-"""All queries of the trace operators, with their SQL."""
+"""All queries of the trace operators; importing the modules registers them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tracelore.plans import sequence_queries  # noqa: F401
+from tracelore.plans.registry import ORACLE_SQL, QUERIES
 
+FLAGSHIP = "behavior_profile"
 
-def behavior_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by type: rows, users and summed value."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
-
-
-FLAGSHIP = "behavior_counts"
-QUERIES = {"behavior_counts": behavior_counts}
-ORACLE_SQL = {"behavior_counts": "SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type"}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
