@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelore.llm.components import connected
-from tracelore.llm.textkit import LOWER, chunks, ids_of, mix, segment_sums, shuffle_width, stored, word_bounds, word_hashes
+from tracelore.llm.textkit import LOWER, chunks, ids_of, likely_in, mix, segment_sums, shuffle_width, stored, word_bounds, word_hashes
 
 #: Default: words of a shingle, and the least similarity as a fraction.
 WORDS, NUM, DEN = 5, 80, 100
@@ -309,10 +309,9 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
-def _links(members: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _links(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """True links among documents of the same (cluster, block); members: doc, cluster, block, fresh."""
-    width = shuffle_width(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
+    width = shuffle_width(texts.sparkSession)
     rows = members.join(texts, "doc").select("cluster", "block", "doc", "text", "fresh")
     return rows.repartition(width, "cluster", "block").sortWithinPartitions("cluster", "block", "doc").mapInArrow(_verify(words, num, den), "a long, b long")
 
@@ -340,21 +339,24 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = NUM, d
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("size"), *salted).where("size > 1")
     pivots = F.array(*[F.col(f"p{k}") for k in range(PIVOTS)])
     members = stored(placed.join(sizes, "cluster").select("doc", "cluster", "size", F.array_distinct(pivots).alias("pivots")), "members")
+    # the texts of these documents alone go on; they are moved once
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
+    texts = stored(likely_in(rows, "doc", members.select("doc")).join(members.select("doc"), "doc", "left_semi"), "texts")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     everywhere = F.array_contains("pivots", F.col("doc")) & (F.col("size") > BLOCK)
     dealt = members.withColumn("block", F.explode(F.when(everywhere, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))).select("doc", "cluster", "block", F.lit(True).alias("fresh"))
-    links = stored(_links(dealt, docs, words, num, den).union(same), "links")
+    links = stored(_links(dealt, texts, words, num, den).union(same), "links")
     large = members.where(F.col("size") > BLOCK).select("doc", "cluster", "size", own.alias("block"))
     if large.limit(1).count():
-        links = _rest(large, links, docs, words, num, den)
+        links = _rest(large, links, texts, words, num, den)
     comp = connected(links).select(F.col("u").alias("doc"), F.col("v").alias("component"))
     out = nodes.select(F.col("a").alias("doc"), F.col("n").alias("n_shingles")).join(comp, "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     lost = tied.where("kind = 0 AND n < 0").select(F.lit(None).cast("long").alias("doc_id"), (-1 - F.col("n")).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.union(lost)
 
 
-def _rest(large: DataFrame, links: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _rest(large: DataFrame, links: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The links so far, and those between blocks of large clusters: what is not in the largest component against all blocks."""
     comp = connected(links)
     rows = large.join(comp.select(F.col("u").alias("doc"), F.col("v").alias("component")), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -369,7 +371,7 @@ def _rest(large: DataFrame, links: DataFrame, docs: DataFrame, words: int, num:
     left = rows.where(apart).select("doc", "cluster", F.pmod(F.xxhash64("doc", F.lit(1)), pieces).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("fresh"), blocks.alias("blocks"))
     right = rows.select("doc", "cluster", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), "block", F.lit(False).alias("fresh"), blocks.alias("blocks"))
     both = left.union(right).groupBy("doc", "cluster", (F.col("piece") * F.col("blocks") + F.col("block")).alias("block")).agg(F.max("fresh").alias("fresh"))
-    return stored(_links(both.select("doc", "cluster", "block", "fresh"), docs, words, num, den).union(links), "links")
+    return stored(_links(both.select("doc", "cluster", "block", "fresh"), texts, words, num, den).union(links), "links")
 
 
 def one_per_group(docs: DataFrame, **options) -> DataFrame:

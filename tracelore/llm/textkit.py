@@ -64,6 +64,21 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Slots that ``likely_in`` hashes keys to; bounds its broadcast to so many 8-byte rows.
+SLOTS = 1 << 20
+
+
+def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``keys`` (one long column): what follows need not shuffle them.
+
+    Keys are hashed to SLOTS slots and the slots in use are broadcast, so some other rows
+    stay, more the more keys there are; the join that follows drops them.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SLOTS))
+    used = keys.select(slot(F.col(keys.columns[0])).alias("_slot")).distinct()
+    return rows.join(F.broadcast(used), slot(F.col(key)) == F.col("_slot"), "left_semi")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions that a shuffle gets in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
