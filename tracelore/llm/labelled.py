@@ -1,27 +1,36 @@
-"""A bounded sample of labelled texts on the driver, for fitting classifiers."""
+"""Fitting classifiers on a bounded sample of labelled texts."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, max_bytes: int) -> tuple[list[tuple[int, str]], dict[int, int]]:
-    """At most ``per_class`` (label, text) of each class, and how many labelled ids each class has.
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, train: Callable, per_class: int, max_bytes: int):
+    """What ``train`` makes of at most ``per_class`` (label, text) of each class, and of how many labelled ids each class has.
 
     ``learn`` is the condition on doc_id for rows to learn from. Rows without an id or a
     label are left out; an id with several labels takes their rounded mean. Ids are taken in
-    the order of a hash, so the sample repeats. Texts over ``max_bytes`` are not sampled,
-    which bounds what the driver gets to 2 * per_class * max_bytes; scoring has no bound.
+    the order of a hash, so the sample repeats. Texts over ``max_bytes`` are not sampled:
+    one task trains, on 2 * per_class * max_bytes of text at most. Scoring has no bound.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y")).where(learn)
     sizes = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     taken = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # bounded by 2 * per_class rows of 12 bytes
     rows = docs.select("doc_id", "text").join(F.broadcast(taken[0].union(taken[1])), "doc_id").where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes).select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.limit(2 * per_class).collect()
-    return [(r["y"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["text"]))], sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((d, y, t) for batch in batches for d, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(y, t) for _, y, t in got], {k: sizes.get(k, 0) for k in (0, 1)}))])], ["model"])
+
+    made = rows.limit(2 * per_class).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(made[0]["model"])) if made else train([], None)
 
 
 def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

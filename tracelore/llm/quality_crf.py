@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelore.llm.labelled import logistic, sample
+from tracelore.llm import labelled
+from tracelore.llm.labelled import logistic
 from tracelore.llm.textkit import chunks, fold, ids_of, prefix_hash, span_hash, word_bounds
 
 #: Bounds of the labelled sample: documents of a class, bytes of a text.
@@ -206,7 +207,7 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
     """A model from the labelled documents whose crc32(doc_id) mod 5 is not 0."""
-    return train(*sample(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, per_class, max_bytes))
+    return labelled.fit(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, train, per_class, max_bytes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

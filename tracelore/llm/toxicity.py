@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelore.llm.labelled import logistic, sample
+from tracelore.llm import labelled
+from tracelore.llm.labelled import logistic
 from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, prefix_hash, span_hash, word_bounds
 
 #: Kernel: subsequence length, weight of a letter's place, power of the normalised kernel.
@@ -32,7 +33,7 @@ LEAST_Z = 6
 #: A unit over WINDOW bytes is taken as windows that overlap by half.
 WINDOW = 32
 #: Bounds of the labelled sample: documents of a class, bytes of a text.
-PER_CLASS, MAX_BYTES = 1500, 24_576
+PER_CLASS, MAX_BYTES = 1200, 16_384
 #: Bytes of text, and scores of units, that a worker holds at once.
 HELD_BYTES, HELD_UNITS = 3 << 20, 400_000
 THRESHOLD = 0.7
@@ -234,7 +235,8 @@ def choose_landmarks(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     for k in range(ORDER):
         gram = (gram << np.uint64(8)) | letters[place + k].astype(np.uint64)
     _, gram = np.unique(gram, return_inverse=True)
-    pairs = np.unique(np.stack([back.ravel(), doc[ok]], 1), axis=0)
+    pairs = np.unique(back.ravel() * (len(y) + 1) + doc[ok])
+    pairs = np.stack([pairs // (len(y) + 1), pairs % (len(y) + 1)], 1)
     # documents by run, each document once
     per = np.bincount(unit, minlength=len(at))
     first = np.cumsum(per) - per
@@ -346,7 +348,7 @@ def train(rows: list[tuple[int, str]], sizes: dict[int, int] | None = None) -> M
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
     """A model from the labelled documents whose crc32(doc_id) mod 3 is not 1."""
-    return train(*sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, per_class, max_bytes))
+    return labelled.fit(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, train, per_class, max_bytes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
