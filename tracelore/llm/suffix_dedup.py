@@ -10,8 +10,8 @@ segments of the same anchor, at the same place. Hence:
    anchor, one copy of each; a shard's suffix array (induced sorting) and permuted
    common prefixes tell which of their strings repeat.
 3. Anchors with over HOT different segments are not taken to one shard: their strings are
-   halved in blocks, blocks are kept whose common core is found twice, down to blocks
-   of one string.
+   cut into blocks. A block that is found twice as a whole repeats; one whose strings'
+   common core is found twice is cut further, down to blocks of one string.
 
 Removed spans are unions of repeated strings, judged on the input.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 
 from tracelore.llm import textkit
 from tracelore.llm.suffix_array import longest_shared, suffix_array
-from tracelore.llm.textkit import chunks, ids_of, mix, prefix_hash, shuffle_width, span_hash, stored
+from tracelore.llm.textkit import chunks, ids_of, lean, left_by_key, likely_in, mix, prefix_hash, shuffle_width, span_hash, stored
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 400, 100
 #: Different segments of one anchor that may go to one shard; block sizes for those of more.
-HOT, BLOCKS = 256, (16, 4, 1)
+HOT, BLOCKS = 256, (64, 16, 4, 1)
 #: Bytes of one suffix array.
-SLAB = 4 << 20
+SLAB = 2 << 20
 _PLACE = 22
 
 
@@ -159,7 +160,7 @@ def _sort_shards(length: int):
 
 
 def _split_blocks(length: int, block: int):
-    """Rows (h, key, base, from, to, piece) to (core, id columns, from, to): blocks of starts with a hash of what all their strings share.
+    """Rows (h, key, base, lo, hi, anchor, piece) to (core, full, h, key, base, lo, hi): blocks of starts with hashes of what all their strings share and of the whole block.
 
     Starts are counted from the piece's begin; blocks are laid by the distance to the
     anchor, which equal strings have in common.
@@ -176,7 +177,7 @@ def _split_blocks(length: int, block: int):
             to = anchor[row] - nth * block
             core_from, core_to = to, to - block + 1 + length
             a, b = np.maximum(lo[row], to - block + 1), np.minimum(hi[row], to)
-            cores = np.zeros(len(row), np.uint64)
+            cores, full = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
             done = 0
             for begin, end, data, offsets in chunks(batch.column(6)):
                 prefix = prefix_hash(data)
@@ -186,8 +187,9 @@ def _split_blocks(length: int, block: int):
                 size = offsets[row[mine] - begin + 1] - shift
                 x, y = np.clip(core_from[mine], 0, size), np.clip(core_to[mine], 0, size)
                 cores[mine] = mix(span_hash(prefix, shift + x, shift + y) ^ h[row[mine]].view(np.uint64)) + nth[mine].astype(np.uint64)
+                full[mine] = mix(span_hash(prefix, shift + a[mine], shift + b[mine] + length)) + (anchor[row[mine]] - a[mine]).astype(np.uint64)
                 done = mine.stop
-            yield pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(h[row]), pa.array(key[row]), pa.array(base[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["core", "h", "key", "base", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(full.view(np.int64)), pa.array(h[row]), pa.array(key[row]), pa.array(base[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["core", "full", "h", "key", "base", "lo", "hi"])
 
     return run
 
@@ -199,7 +201,7 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    cut = stored(docs.mapInArrow(_cut(length, gram), SEGMENTS), "segments")
+    cut = stored(docs.mapInArrow(lean(_cut(length, gram)), SEGMENTS), "segments")
     real = cut.where("n > 0")
     kinds = stored(real.groupBy("h", "seg").agg(F.sum("n").alias("c"), F.min(F.struct("key", "lo", "hi")).alias("at")), "kinds")
     anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum((F.col("c") == 1).cast("long")).alias("singles"))
@@ -208,12 +210,13 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     open_, whole = stored(open_, "open"), stored(whole, "whole")
     # the texts that matter further on: those with an open or a repeated segment
     wanted = open_.select("key").union(whole.select("key")).distinct()
-    texts = stored(docs.select("key", "text").dropDuplicates(["key"]).join(wanted, "key"), "texts")
+    wanted = stored(wanted, "wanted")
+    texts = stored(likely_in(docs.select("key", "text"), "key", wanted).join(wanted, "key").dropDuplicates(["key"]), "texts")
     piece = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
     pieces = open_.join(texts, "key").select("h", "key", "lo", "hi", "single", "kinds", piece.alias("piece"))
     pieces = stored(pieces, "pieces")
     cool = pieces.where(F.col("kinds") <= HOT).select("h", "key", "lo", "single", "piece")
-    found = cool.repartition(width, "h").sortWithinPartitions("h").mapInArrow(_sort_shards(length), SPANS)
+    found = cool.repartition(width, "h").sortWithinPartitions("h").mapInArrow(lean(_sort_shards(length)), SPANS)
     hot = pieces.where(F.col("kinds") > HOT)
     found = stored(found, "found")
     if hot.limit(1).count():
@@ -224,14 +227,18 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> tuple[D
 def _hot(hot: DataFrame, length: int, gram: int) -> DataFrame:
     """Repeated starts of segments whose anchor has too many kinds for one shard, by blocks of falling size."""
     # the anchor's place is the same in equal strings: any fixed point of the segment that depends on its strings alone
-    hot = stored(hot.select("h", "key", F.col("lo").alias("base"), "hi", "piece").mapInArrow(_find_anchor(length, gram), "h long, key long, base int, last int, anchor int, piece binary"), "hot")
+    hot = stored(hot.select("h", "key", F.col("lo").alias("base"), "hi", "piece").mapInArrow(lean(_find_anchor(length, gram)), "h long, key long, base int, last int, anchor int, piece binary"), "hot")
     rows = hot.select("h", "key", "base", F.lit(0).alias("lo"), F.col("last").alias("hi"))
+    found = []
     for block in BLOCKS:
-        cut = rows.join(hot, ["h", "key", "base"]).select("h", "key", "base", "lo", "hi", "anchor", "piece").mapInArrow(_split_blocks(length, block), "core long, h long, key long, base int, lo int, hi int")
+        cut = rows.join(hot, ["h", "key", "base"]).select("h", "key", "base", "lo", "hi", "anchor", "piece").mapInArrow(lean(_split_blocks(length, block)), "core long, full long, h long, key long, base int, lo int, hi int")
         cut = stored(cut, "blocks")
-        twice = cut.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-        rows = cut.join(twice, "core").select("h", "key", "base", "lo", "hi")
-    return rows.select("key", (F.col("base") + F.col("lo")).cast("int").alias("lo"), (F.col("base") + F.col("hi")).cast("int").alias("hi"))
+        whole = stored(cut.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("h", "key", "base", "lo", "hi")).alias("one")), "judged")
+        found.append(cut.join(whole.where("n > 1").select("core", "full"), ["core", "full"]).select("key", "base", "lo", "hi"))
+        # one of each kind goes on where some kind was found once: the others are there to be found again
+        cores = whole.groupBy("core").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).where("kinds > 1 AND singles > 0")
+        rows = whole.join(cores, "core").select("one.*")
+    return reduce(DataFrame.union, found).select("key", (F.col("base") + F.col("lo")).cast("int").alias("lo"), (F.col("base") + F.col("hi")).cast("int").alias("hi"))
 
 
 def _find_anchor(length: int, gram: int):
@@ -300,7 +307,8 @@ def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) ->
     rows = keyed(docs.select("doc_id", "text"))
     runs, _ = spans(rows.select("key", "text"), length=length, gram=gram)
     per = runs.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    return rows.join(per, "key", "left").select("doc_id", "text", "runs").mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    per = stored(per, "runs")
+    return left_by_key(rows, "key", per.withColumnRenamed("key", "_k"), "_k").select("doc_id", "text", "runs").mapInArrow(lean(_digest(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -331,6 +339,6 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))], schema=pa.schema([batch.schema.field(k) for k in range(len(names))]))
 
-    joined = rows.join(per, F.col("_key") == F.col("_key2"), "left").select(*[rows[c] for c in names], "_runs")
-    out = joined.mapInArrow(run, docs.schema)
+    joined = left_by_key(rows, "_key", stored(per, "runs"), "_key2").select(*names, "_runs")
+    out = joined.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
