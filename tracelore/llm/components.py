@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelore.llm.textkit import drop_stored, stored
+from tracelore.llm.textkit import drop_stored, lean, stored
 
 #: Edges that a task contracts at once before they are shuffled.
 CONTRACTED = 1_000_000
@@ -78,7 +78,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    now = stored(pairs.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    now = stored(pairs.mapInArrow(lean(_contract), "u long, v long").distinct(), "edges")
     mark = _print(now)
     while mark[0]:
         new = stored(_small(_large(now)), "edges")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, stored, word_bounds, word_hashes
+from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, lean, stored, word_bounds, word_hashes
 
 #: Latent states; rounds of Baum-Welch over all training texts.
 STATES, ROUNDS = 8, 3
@@ -85,7 +85,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             h, k, c = np.append(h, np.uint64(END)), np.append(k[at], -1), np.append(c, len(batch))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(c.astype(np.int64))], ["h", "k", "c"])
 
-    return docs.select("text").mapInArrow(run, "h long, k int, c long").groupBy("h").agg(F.max("k").alias("k"), F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(lean(run), "h long, k int, c long").groupBy("h").agg(F.max("k").alias("k"), F.sum("c").alias("c"))
 
 
 def lookup_of(counts: DataFrame) -> Lookup:
@@ -144,7 +144,7 @@ def encode(docs: DataFrame, lookup: Lookup) -> DataFrame:
                 )
                 key += n
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, ENCODED)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(lean(run), ENCODED)
 
 
 @dataclass
@@ -292,7 +292,7 @@ def train(encoded: DataFrame, lookup: Lookup, rounds: int = ROUNDS) -> Model:
                 some = np.flatnonzero(table.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, k]) for k in range(STATES))], ["symbol", *names])
 
-        summed = texts.select("symbols").mapInArrow(run, "symbol int, " + ", ".join(f"{x} double" for x in names)).groupBy("symbol").agg(*(F.sum(x).alias(x) for x in names))
+        summed = texts.select("symbols").mapInArrow(lean(run), "symbol int, " + ", ".join(f"{x} double" for x in names)).groupBy("symbol").agg(*(F.sum(x).alias(x) for x in names))
         # KEPT + CLASSES + STATES + 2 rows at most
         table = np.zeros((size + STATES + 1, STATES))
         got = summed.toArrow()
@@ -322,7 +322,7 @@ def lm_report(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(forward(shared.value, *sequences(batch.column(batch.num_columns - 1))))], [*batch.schema.names[:-1], "path"])
 
     plain = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inside double"
-    scored = encoded.select(*[x.split()[0] for x in plain.split(", ")], "symbols").mapInArrow(run, plain + ", path double")
+    scored = encoded.select(*[x.split()[0] for x in plain.split(", ")], "symbols").mapInArrow(lean(run), plain + ", path double")
     rare = encoded.select("key", F.explode(F.arrays_zip("miss_h", "miss_k")).alias("m")).select("key", F.col("m.miss_h").alias("h"), F.col("m.miss_k").alias("k"))
     sums = spark.createDataFrame([(k, float(t + _SMOOTH * (d + 1))) for k, (t, d) in enumerate(zip(lookup.class_total.tolist(), lookup.class_distinct.tolist(), strict=True))], "k int, class_mass double")
     c = F.coalesce(F.col("c"), F.lit(0)) + _SMOOTH

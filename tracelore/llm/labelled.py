@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelore.llm.textkit import lean
+
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, train: Callable, per_class: int, max_bytes: int):
     """What ``train`` makes of at most ``per_class`` (label, text) of each class, and of how many labelled ids each class has.
@@ -29,7 +31,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, train: Ca
         got = sorted((d, y, t) for batch in batches for d, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(y, t) for _, y, t in got], {k: sizes.get(k, 0) for k in (0, 1)}))])], ["model"])
 
-    made = rows.limit(2 * per_class).repartition(1).mapInArrow(run, "model binary").collect()
+    made = rows.limit(2 * per_class).repartition(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(bytes(made[0]["model"])) if made else train([], None)
 
 

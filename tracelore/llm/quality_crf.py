@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracelore.llm import labelled
 from tracelore.llm.labelled import logistic
-from tracelore.llm.textkit import chunks, fold, ids_of, prefix_hash, span_hash, word_bounds
+from tracelore.llm.textkit import chunks, fold, ids_of, lean, prefix_hash, span_hash, word_bounds
 
 #: Bounds of the labelled sample: documents of a class, bytes of a text.
 PER_CLASS, MAX_BYTES = 1500, 24_576
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = scores(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([ids_of(batch), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

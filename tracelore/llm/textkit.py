@@ -7,8 +7,10 @@ chunk holds one or more complete documents, never part of one.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,22 @@ _POWERS: dict[str, np.ndarray] = {}
 _CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+def lean(run: Callable) -> Callable:
+    """A task's function that gives the memory it has freed back to the system when it ends: workers live on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                gc.collect()
+                trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,6 +97,20 @@ def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(used), slot(F.col(key)) == F.col("_slot"), "left_semi")
 
 
+def left_by_key(rows: DataFrame, key: str, found: DataFrame, other: str) -> DataFrame:
+    """``rows`` with the columns of ``found`` whose ``other`` equals ``key``, null where there is none.
+
+    A left join that moves only rows whose key may be found; ``found`` has one row per key.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SLOTS))
+    used = F.broadcast(found.select(slot(F.col(other)).alias("_slot")).distinct())
+    marked = rows.withColumn("_at", F.coalesce(slot(F.col(key)), F.lit(-1).cast("long")))
+    names = [c for c in found.columns if c != other]
+    alone = marked.join(used, F.col("_at") == F.col("_slot"), "left_anti").drop("_at").withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in names})
+    likely = marked.join(used, F.col("_at") == F.col("_slot"), "left_semi").drop("_at")
+    return alone.unionByName(likely.join(found.withColumnRenamed(other, "_other"), F.col(key) == F.col("_other"), "left").drop("_other"))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions that a shuffle gets in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracelore.llm.textkit import ids_of
+from tracelore.llm.textkit import ids_of, lean
 
 #: Default vocabulary file; its pieces and scores are read as a unigram model.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -127,4 +127,4 @@ def token_counts(docs: DataFrame, *, text: str = "text", vocab: list[tuple[str,
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([ids_of(batch), pa.array([count_tokens(t, counter) for t in texts], pa.int64()), pa.array([len(t or "") for t in texts], pa.int64())], ["doc_id", "n_tokens", "n_chars"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, n_chars long")
+    return docs.select("doc_id", text).mapInArrow(lean(run), "doc_id long, n_tokens long, n_chars long")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracelore.llm import labelled
 from tracelore.llm.labelled import logistic
-from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, prefix_hash, span_hash, word_bounds
+from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, lean, prefix_hash, span_hash, word_bounds
 
 #: Kernel: subsequence length, weight of a letter's place, power of the normalised kernel.
 ORDER, DECAY, SHARPEN = 4, np.float32(0.8), 2
@@ -33,9 +33,9 @@ LEAST_Z = 6
 #: A unit over WINDOW bytes is taken as windows that overlap by half.
 WINDOW = 32
 #: Bounds of the labelled sample: documents of a class, bytes of a text.
-PER_CLASS, MAX_BYTES = 1200, 16_384
+PER_CLASS, MAX_BYTES = 1000, 12_288
 #: Bytes of text, and scores of units, that a worker holds at once.
-HELD_BYTES, HELD_UNITS = 3 << 20, 400_000
+HELD_BYTES, HELD_UNITS = 1 << 20, 300_000
 THRESHOLD = 0.7
 
 _KEEP = np.zeros(256, bool)
@@ -364,7 +364,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = scorer.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([ids_of(batch), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -382,4 +382,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = scorer.scores(batch.column(batch.schema.get_field_index("text"))) < THRESHOLD
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

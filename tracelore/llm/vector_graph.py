@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelore.llm.components import connected, forest
-from tracelore.llm.textkit import shuffle_width, stored
+from tracelore.llm.textkit import lean, shuffle_width, stored
 
 LINK = 0.98
 #: Vectors per centre aimed at; most centres in all (bounds the broadcast); nearest centres that a vector goes to.
@@ -198,7 +198,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(batch))), batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(out, pa.list_(pa.float64()))], ["key", "vec_id", "label", "unit"])
             key += len(batch)
 
-    return vectors.select("vec_id", "label", "embedding").mapInArrow(run, "key long, vec_id long, label string, unit array<double>")
+    return vectors.select("vec_id", "label", "embedding").mapInArrow(lean(run), "key long, vec_id long, label string, unit array<double>")
 
 
 def _centres(classes: DataFrame, sizes: dict[tuple, int]) -> dict[tuple, tuple[int, np.ndarray]]:
@@ -266,8 +266,8 @@ def search(classes: DataFrame, overlap: int) -> DataFrame:
                 [pa.array(np.concatenate([keys[queries], keys[u]])), pa.array(np.concatenate([total, np.zeros(len(u), np.int64)]), mask=np.append(np.zeros(len(queries), bool), np.ones(len(u), bool))), pa.array(np.concatenate([keys[queries], keys[v]]))], ["key", "n", "root"]
             )
 
-    dealt = classes.select("key", "label", "unit", "weight").mapInArrow(deal, "shard int, key long, label string, unit array<double>, weight long, home boolean")
-    return dealt.repartition(max(width, 1), "shard", "label").sortWithinPartitions("shard", "label", F.size("unit")).mapInArrow(find, "key long, n long, root long")
+    dealt = classes.select("key", "label", "unit", "weight").mapInArrow(lean(deal), "shard int, key long, label string, unit array<double>, weight long, home boolean")
+    return dealt.repartition(max(width, 1), "shard", "label").sortWithinPartitions("shard", "label", F.size("unit")).mapInArrow(lean(find), "key long, n long, root long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -314,7 +314,7 @@ def audit(classes: DataFrame, found: DataFrame) -> float:
                         out[key] = out.get(key, 0) + int(weight[at][hit].sum())
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["key", "n"])
 
-    true = {r["key"]: r["n"] for r in classes.select("key", "label", "unit", "weight").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    true = {r["key"]: r["n"] for r in classes.select("key", "label", "unit", "weight").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     wanted = spark.createDataFrame([(k,) for k in true], "key long")
     got = {r["key"]: r["n"] for r in found.where("n IS NOT NULL").join(F.broadcast(wanted), "key").collect()}
     all_links = sum(true.values())
