@@ -52,23 +52,23 @@ def score_table(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y") ->
 def components(table: DataFrame) -> DataFrame:
     """A score table with v_pos and v_neg, the structural components of a positive and a negative at the score."""
     above = F.col("m") - F.col("before_pos") - F.col("pos")
-    return table.withColumns({"v_pos": (F.col("before_neg") + F.col("neg") * 0.5) / F.col("n"), "v_neg": (above + F.col("pos") * 0.5) / F.col("m")})
+    return table.withColumns({"v_pos": F.try_divide(F.col("before_neg") + F.col("neg") * 0.5, F.col("n")), "v_neg": F.try_divide(above + F.col("pos") * 0.5, F.col("m"))})
 
 
 def _variance(v: str, w: str) -> Column:
-    n, mean = F.sum(w), F.sum(F.col(v) * F.col(w)) / F.sum(w)
+    n, mean = F.sum(w), F.try_divide(F.sum(F.col(v) * F.col(w)), F.sum(w))
     return F.when(n >= 2, F.greatest((F.sum(F.col(v) * F.col(v) * F.col(w)) - n * mean * mean) / (n - 1), F.lit(0.0))).otherwise(0.0)
 
 
 def auroc_ci(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y", min_per_class: int = 1) -> DataFrame:
     """AUROC of every slice with its DeLong variance and a logit interval, plain where the logit has none; null with too few of a class."""
     c = components(score_table(rows, keys, p, y))
-    out = c.groupBy(*keys).agg(F.max("m").alias("n_pos"), F.max("n").alias("n_neg"), (F.sum(F.col("v_pos") * F.col("pos")) / F.max("m")).alias("auroc"), (_variance("v_pos", "pos") / F.max("m") + _variance("v_neg", "neg") / F.max("n")).alias("var_auroc"))
+    out = c.groupBy(*keys).agg(F.max("m").alias("n_pos"), F.max("n").alias("n_neg"), F.try_divide(F.sum(F.col("v_pos") * F.col("pos")), F.max("m")).alias("auroc"), (F.try_divide(_variance("v_pos", "pos"), F.max("m")) + F.try_divide(_variance("v_neg", "neg"), F.max("n"))).alias("var_auroc"))
     enough = (F.col("n_pos") >= min_per_class) & (F.col("n_neg") >= min_per_class)
     out = out.withColumns({x: F.when(enough, F.col(x)) for x in ("auroc", "var_auroc")})
     se, auc = F.sqrt("var_auroc"), F.col("auroc")
     plain = (F.col("var_auroc") <= 0) | (auc <= 0) | (auc >= 1)
-    eta, width = F.log(auc / (1 - auc)), Z_975 * se / (auc * (1 - auc))
+    eta, width = F.log(F.try_divide(auc, 1 - auc)), F.try_divide(Z_975 * se, auc * (1 - auc))
     low = F.when(plain, F.greatest(F.lit(0.0), auc - Z_975 * se)).otherwise(1 / (1 + F.exp(-(eta - width))))
     high = F.when(plain, F.least(F.lit(1.0), auc + Z_975 * se)).otherwise(1 / (1 + F.exp(-(eta + width))))
     return out.withColumns({"ci_low": F.when(enough, low), "ci_high": F.when(enough, high)})
@@ -94,7 +94,7 @@ def paired_delong(rows: DataFrame, keys: list[str], a: str = "p_a", b: str = "p_
     items = items.withColumns({"va": va, "vb": vb, "d": va - vb})
     out = items.groupBy(*keys).agg(
         F.avg(F.when(pos, F.col("va"))).alias("auroc_a"), F.avg(F.when(pos, F.col("vb"))).alias("auroc_b"), F.count_if(pos).alias("n_pos"), F.count_if(neg).alias("n_neg"),
-        (F.coalesce(F.var_samp(F.when(pos, F.col("d"))), F.lit(0.0)) / F.count_if(pos) + F.coalesce(F.var_samp(F.when(neg, F.col("d"))), F.lit(0.0)) / F.count_if(neg)).alias("var_diff"),
+        (F.try_divide(F.coalesce(F.var_samp(F.when(pos, F.col("d"))), F.lit(0.0)), F.count_if(pos)) + F.try_divide(F.coalesce(F.var_samp(F.when(neg, F.col("d"))), F.lit(0.0)), F.count_if(neg))).alias("var_diff"),
     )
     out = out.withColumn("diff", F.col("auroc_a") - F.col("auroc_b"))
     se = F.sqrt("var_diff")

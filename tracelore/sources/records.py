@@ -103,8 +103,9 @@ def repaired(rows: DataFrame) -> DataFrame:
     """Rows whose trace is ten characters at most get it from the full response, with its lengths; written elsewhere, never in place."""
     from tracelore.functions.answers import repaired_trace, think_block
 
-    short = F.char_length(F.coalesce("reasoning_trace", F.lit(""))) <= 10
+    rows = rows.withColumn("_short", F.char_length(F.coalesce("reasoning_trace", F.lit(""))) <= 10)
+    short = F.col("_short")
     rows = rows.withColumn("answer_text", F.when(short, think_block(F.col("full_response")).getField("answer")).otherwise(F.col("answer_text")))
     rows = rows.withColumn("reasoning_trace", repaired_trace(F.col("reasoning_trace"), F.col("full_response")))
     words = F.size(F.filter(F.split(F.coalesce("reasoning_trace", F.lit("")), r"\s+"), lambda x: x != ""))
-    return rows.withColumns({"trace_length": F.when(short, F.char_length("reasoning_trace")).otherwise(F.col("trace_length")), "trace_token_count": F.when(short, words).otherwise(F.col("trace_token_count"))})
+    return rows.withColumns({"trace_length": F.when(short, F.char_length("reasoning_trace")).otherwise(F.col("trace_length")), "trace_token_count": F.when(short, words).otherwise(F.col("trace_token_count"))}).drop("_short")
