@@ -127,9 +127,9 @@ def encode(docs: DataFrame, lookup: Lookup) -> DataFrame:
                     symbol[hit] = known.symbols[at[hit]]
                 doc = np.repeat(np.arange(n), per_doc)
                 c = known.counts[at[hit]] if hit.any() else np.zeros(0, np.int64)
-                base = np.bincount(doc[hit], known.base(c), minlength=n) + known.base(np.array([known.end_count]))[0]
+                base = np.bincount(doc[hit], known.base(c), minlength=n).astype(np.float64) + known.base(np.array([known.end_count]))[0]
                 rare = symbol[hit] >= KEPT
-                inside = np.bincount(doc[hit][rare], known.inside(c[rare], k[hit][rare]), minlength=n)
+                inside = np.bincount(doc[hit][rare], known.inside(c[rare], k[hit][rare]), minlength=n).astype(np.float64)
                 n_known = np.bincount(doc[hit], minlength=n) + (known.end_count > 0)
                 ends = np.cumsum(per_doc)
                 full = np.insert(symbol, ends, KEPT + CLASSES).astype("<u2")

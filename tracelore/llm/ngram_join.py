@@ -184,7 +184,7 @@ def _sign(words: int, num: int, den: int):
 
 
 def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's keys: 0 (document, n, first document with the same set, point) and 1 (document, 0, signature) where two documents or more have it."""
+    """One task's keys: 0 (document, n, first document with the same set, point) and 1 (document, route, signature) where two documents or more have it."""
     held = [b for b in batches if len(b)]
     if not held:
         return
@@ -215,8 +215,12 @@ def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.add.reduceat(mix(doc[at].astype(np.uint64)), first)
         once = np.zeros(len(first), bool)
         once[np.unique(mix(group + size.astype(np.uint64)), return_index=True)[1]] = True
-        at = at[np.repeat(once & (size > 1), size)]
-        yield from rows(1, doc[at], np.zeros(len(at), np.int64), key[at])
+        # where the rows go next: signatures of one first document together, as their documents are much the same,
+        # but those of many documents to as many places as their number asks for
+        places = np.clip(size // TOGETHER, 1, 256).astype(np.uint64)
+        route = mix(doc[at][first].astype(np.uint64) * _ODD + key[at][first].view(np.uint64) % places).view(np.int64)
+        keep = np.repeat(once & (size > 1), size)
+        yield from rows(1, doc[at][keep], np.repeat(route, size)[keep], key[at][keep])
 
 
 def likely_links(points: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,6 +286,8 @@ def _prune(num: int, den: int):
     return run
 
 
+#: Documents that share signatures up to which one place takes all of those.
+TOGETHER = 64
 #: Rows of shared signatures that a task prunes at once, unless one signature has more.
 PRUNED = 300_000
 
@@ -449,10 +455,10 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = NUM, d
     signed = docs.select("doc_id", "text").mapInArrow(lean(_sign(words, num, den)), ROWS)
     tied = stored(signed.repartition(width, "key").mapInArrow(lean(_tie), "kind byte, a long, n long, b long, point binary"), "ties")
     nodes = tied.where("kind = 0 AND n >= 0")
-    shared = tied.where("kind = 1").select(F.col("b").alias("sig"), F.col("a").alias("doc"))
+    shared = tied.where("kind = 1").select(F.col("b").alias("sig"), F.col("a").alias("doc"), F.col("n").alias("route"))
     known = nodes.where("n > 0").groupBy(F.col("a").alias("doc"), "n").agg(F.max("point").alias("point"))
-    met = shared.join(known, "doc").select("sig", "doc", "n", "point")
-    likely = stored(met.repartition(width, "sig").sortWithinPartitions("sig", "doc").mapInArrow(lean(_prune(num, den)), "a long, b long"), "likely")
+    met = shared.join(known, "doc").select("sig", "doc", "n", "point", "route")
+    likely = stored(met.repartition(width, "route").sortWithinPartitions("sig", "doc").mapInArrow(lean(_prune(num, den)), "a long, b long"), "likely")
     same = nodes.where("a <> b").select("a", "b").distinct()
     clusters = connected(likely.union(same))
     # one document per distinct set takes part; clusters of one set are done

@@ -82,7 +82,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.lexsort((hashes, word_line))
     new = np.ones(len(ws), bool)
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (word_line[order][1:] != word_line[order][:-1])
-    distinct = np.bincount(word_line[order], new, minlength=n) / np.maximum(n_words, 1)
+    distinct = np.bincount(word_line[order], new[: len(ws)], minlength=n) / np.maximum(n_words, 1)
     # a line that stands earlier in its document
     doc = np.repeat(np.arange(len(per_doc)), per_doc)
     line_hash = span_hash(prefix, starts, ends)

@@ -230,7 +230,8 @@ def _hot(hot: DataFrame, length: int, gram: int) -> DataFrame:
     hot = stored(hot.select("h", "key", F.col("lo").alias("base"), "hi", "piece").mapInArrow(lean(_find_anchor(length, gram)), "h long, key long, base int, last int, anchor int, piece binary"), "hot")
     rows = hot.select("h", "key", "base", F.lit(0).alias("lo"), F.col("last").alias("hi"))
     found = []
-    for block in BLOCKS:
+    # a block's strings must share a core
+    for block in [b for b in BLOCKS if b == 1 or 2 * b <= length]:
         cut = rows.join(hot, ["h", "key", "base"]).select("h", "key", "base", "lo", "hi", "anchor", "piece").mapInArrow(lean(_split_blocks(length, block)), "core long, full long, h long, key long, base int, lo int, hi int")
         cut = stored(cut, "blocks")
         whole = stored(cut.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("h", "key", "base", "lo", "hi")).alias("one")), "judged")

@@ -27,7 +27,7 @@ from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, lean, prefix_hash
 #: Kernel: subsequence length, weight of a letter's place, power of the normalised kernel.
 ORDER, DECAY, SHARPEN = 4, np.float32(0.8), 2
 #: Most landmarks, and toxic documents of the sample that must hold a landmark (for a run of it, four times as many).
-LANDMARKS, SUPPORT = 48, 3
+LANDMARKS, SUPPORT = 48, 4
 #: Standard errors by which a landmark must tell the classes apart; thousands of units are tried.
 LEAST_Z = 6
 #: A unit over WINDOW bytes is taken as windows that overlap by half.
