@@ -176,3 +176,16 @@ def test_out_of_fold(spark):
     out = M.out_of_fold(rows, ["x"], "lr", 2)
     assert out.count() == 40
     assert E.auroc_ci(out, ["grp"]).first()["auroc"] > 0.9
+
+
+def test_archives(spark, tmp_path):
+    from tracelore.sources import npz
+
+    np.savez(tmp_path / "a_traces.npz", item_ids=np.array(["x", "y"]), groups=np.array(["g", "g"]), y_true=np.array([0, 1]), oof_prob=np.array([0.1, 0.9]))
+    rows = npz.read_predictions(spark, str(tmp_path)).orderBy("item_id").collect()
+    assert [(r["item_id"], r["y_true"], r["oof_prob"], r["oof_fold"]) for r in rows] == [("x", 0, 0.1, None), ("y", 1, 0.9, None)]
+    steps = tmp_path / "steps"
+    steps.mkdir()
+    np.savez(steps / "math_qwen.npz", item_ids=np.array(["x", "y"]), is_correct=np.array([0, 1]), offsets=np.array([0, 1, 3]), embeddings=np.ones((3, 4)))
+    out = npz.by_dimension(npz.read_steps(spark, str(steps))).first()
+    assert (out["group"], out["dimension"], out["n_items"], out["n_steps"]) == ("math_qwen", 4, 2, 3)

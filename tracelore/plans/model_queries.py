@@ -71,3 +71,13 @@ def shapelet_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols = [g for _, g in names]
         parts.append(M.probabilities(M.fitted(rows.where(F.col("fold") != k), cols), rows.where(F.col("fold") == k), cols, ["item_id", "grp", "y", "fold"]))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query()
+def baseline_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC of the baselines that need no language model: length, lexical cues, hedges, and all surface features."""
+    rows = labelled(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "item_id")
+    rows = rows.join(L.hedge_verify(d).select("item_id", "hedge_count", "verify_count", "hvr", "zero_hedge"), "item_id")
+    cues = ["wait_density", "maybe_density", "verify_density", "actually_density", "negation_density", "question_mark_rate", "repetition_rate_4gram"]
+    return rounded(M.ablation(rows, {"all": COLUMNS, "length": ["n_tokens", "n_chars"], "lexical": cues, "hedges": ["hedge_count", "verify_count", "hvr", "zero_hedge"]}))
