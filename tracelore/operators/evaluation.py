@@ -191,6 +191,15 @@ def conformal(calibration: DataFrame, test: DataFrame, keys: list[str], alpha: f
     )
 
 
+def leave_one_out(rows: DataFrame, group: str, alpha: float, p: str = "p", y: str = "y", least: int = 30) -> DataFrame:
+    """Conformal sets of every group of at least ``least`` rows, calibrated on all the others."""
+    names = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(F.col(group).alias("target"))
+    # each row calibrates once for every other group: their number is small
+    calibration = rows.join(F.broadcast(names), F.col(group) != F.col("target")).select("target", p, y)
+    test = rows.join(F.broadcast(names), F.col(group) == F.col("target")).select("target", p, y)
+    return conformal(calibration, test, ["target"], alpha, p, y)
+
+
 def stratified_folds(rows: DataFrame, strata: list[str], key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """``rows`` with fold: within each stratum, items in order of a hash are dealt round robin."""
     rows = rows.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")))

@@ -77,3 +77,13 @@ def ranked(gains: DataFrame, top: int = 40) -> DataFrame:
     """The candidates of highest gain; ties by length and gram."""
     # the pool bounds what stands in this window
     return gains.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("gain", 9)), "k", "gram")).cast("long")).where(F.col("rank") <= top)
+
+
+def aligned(dist: DataFrame) -> DataFrame:
+    """Distances of several pools on the union of their candidates: a pair that no pool measured is at distance 1.
+
+    The candidates are bounded by the pools, so their broadcast is too.
+    """
+    names = dist.select("k", "gram").distinct()
+    items = dist.select("item_id", "y").distinct()
+    return items.crossJoin(F.broadcast(names)).join(dist, ["item_id", "y", "k", "gram"], "left").withColumn("dist", F.coalesce("dist", F.lit(1.0)))

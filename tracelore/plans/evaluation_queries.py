@@ -125,3 +125,12 @@ def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = E.stratified_folds(order_predictions(spark, sf_dir), ["grp", "y"], "item_id")
     m = f.groupBy("grp", "fold").agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"), F.avg(F.col("y").cast("double")).alias("base_rate"))
     return rounded(E.fold_summary(m, ["accuracy", "base_rate"], ["grp"]))
+
+
+@query(f"""WITH {ORDER_PREDICTIONS}, nm AS (SELECT grp AS target FROM op GROUP BY grp HAVING count(*) >= 30), cal AS (SELECT target, CASE WHEN y = 1 THEN 1 - p ELSE p END AS s FROM op JOIN nm ON grp <> target),
+n AS (SELECT target, count(*) AS n, (count(*) - 1) * least(1.0::DOUBLE, ceil((count(*) + 1) * (1 - 0.2::DOUBLE)) / count(*)) AS h FROM cal GROUP BY target), o AS (SELECT target, s, row_number() OVER (PARTITION BY target ORDER BY s) - 1 AS i FROM cal),
+q AS (SELECT n.target, n.n, max(CASE WHEN i = floor(h) THEN s END) + (max(CASE WHEN i = ceil(h) THEN s END) - max(CASE WHEN i = floor(h) THEN s END)) * (max(h) - floor(max(h))) AS th FROM n JOIN o USING (target) GROUP BY n.target, n.n),
+t AS (SELECT q.target, y, n, th, (1 - p <= th) AS in1, (p <= th) AS in0 FROM op JOIN q ON op.grp = q.target)
+SELECT target, round(max(th), 6) AS threshold, max(n) AS n_cal, count(*) AS n_test, round(avg(CASE WHEN y = 1 THEN in1 ELSE in0 END::INT), 6) AS coverage FROM t GROUP BY target""")
+def conformal_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.leave_one_out(order_predictions(spark, sf_dir), "grp", 0.2).select("target", "threshold", "n_cal", "n_test", "coverage"))

@@ -202,3 +202,11 @@ def sample_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def middle_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", C.middle_cut(F.col("text"), 200).alias("cut"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS item_id, l_linenumber AS layer FROM lineitem), w AS (SELECT item_id, layer, max(layer) OVER (PARTITION BY item_id) AS top, unnest([0.25::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS fraction FROM l)
+SELECT item_id, fraction, arg_min(layer, (abs(layer - fraction * top), layer)) AS layer FROM w GROUP BY item_id, fraction""")
+def nearest_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as layers: the one nearest to each depth."""
+    layers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("layer")).distinct()
+    return V.nearest_layers(layers, [0.25, 0.5, 1.0])
