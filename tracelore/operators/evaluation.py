@@ -99,7 +99,9 @@ def paired_delong(rows: DataFrame, keys: list[str], a: str = "p_a", b: str = "p_
     out = out.withColumn("diff", F.col("auroc_a") - F.col("auroc_b"))
     se = F.sqrt("var_diff")
     out = out.withColumn("z", F.when(F.col("var_diff") > 0, F.col("diff") / se).when(F.col("diff") == 0, 0.0).otherwise(F.signum("diff") * float("inf")))
-    return out.withColumns({"p_two_sided": F.when(F.col("var_diff") > 0, normal_sf2(F.col("z"))).when(F.col("diff") == 0, 1.0).otherwise(0.0), "ci_low": F.col("diff") - Z_975 * se, "ci_high": F.col("diff") + Z_975 * se})
+    unknown = F.col("var_diff").isNull() | F.col("diff").isNull()
+    out = out.withColumn("z", F.when(~unknown, F.col("z")))
+    return out.withColumns({"p_two_sided": F.when(unknown, F.lit(None)).when(F.col("var_diff") > 0, normal_sf2(F.col("z"))).when(F.col("diff") == 0, 1.0).otherwise(0.0), "ci_low": F.col("diff") - Z_975 * se, "ci_high": F.col("diff") + Z_975 * se})
 
 
 def calibration_error(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
