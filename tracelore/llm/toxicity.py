@@ -26,14 +26,14 @@ from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, lean, prefix_hash
 
 #: Kernel: subsequence length, weight of a letter's place, power of the normalised kernel.
 ORDER, DECAY, SHARPEN = 4, np.float32(0.8), 2
-#: Most landmarks, and toxic documents of the sample that must hold a landmark (for a run of it, four times as many).
-LANDMARKS, SUPPORT = 48, 4
+#: Most landmarks, and toxic documents of the sample that must hold a landmark (for a run of it that counts as telling, four times as many).
+LANDMARKS, SUPPORT = 56, 4
 #: Standard errors by which a landmark must tell the classes apart; thousands of units are tried.
 LEAST_Z = 6
 #: A unit over WINDOW bytes is taken as windows that overlap by half.
 WINDOW = 32
 #: Bounds of the labelled sample: documents of a class, bytes of a text.
-PER_CLASS, MAX_BYTES = 1000, 12_288
+PER_CLASS, MAX_BYTES = 1500, 16_384
 #: Bytes of text, and scores of units, that a worker holds at once.
 HELD_BYTES, HELD_UNITS = 1 << 20, 300_000
 THRESHOLD = 0.7
@@ -258,16 +258,24 @@ def choose_landmarks(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     part = np.zeros(len(at))
     np.maximum.at(part, unit, z[gram])
     text = [bytes(letters[a : min(b, a + WINDOW)]) for a, b in zip(starts[at], ends[at], strict=True)]
-    # whole units first; then, for stems with many endings, units by their best run
     order = sorted(np.flatnonzero(whole > LEAST_Z).tolist(), key=lambda k: (-whole[k], text[k]))[:2000]
-    order += sorted(np.flatnonzero(part > LEAST_Z).tolist(), key=lambda k: (-part[k], len(text[k]), text[k]))[:2000]
+    # first one unit for each run that tells the classes apart, then more units that are unlike those
+    lead = np.full(len(at), -1)
+    strong = np.flatnonzero(z[gram] == part[unit])
+    lead[unit[strong][::-1]] = gram[strong][::-1]
+    runs_of = np.split(gram, first[1:]) if len(at) else []
     chosen: list[bytes] = []
-    for k in order:
-        if len(chosen) >= LANDMARKS:
-            break
-        column = matrix(np.frombuffer(text[k], np.uint8), np.array([0]), np.array([len(text[k])]), WINDOW)
-        if not chosen or similarities(column, chosen).max() < 0.5:
-            chosen.append(text[k])
+    covered: set[int] = set()
+    for fresh in (True, False):
+        for k in order:
+            if len(chosen) >= LANDMARKS:
+                break
+            if text[k] in chosen or (fresh and z[lead[k]] > LEAST_Z and int(lead[k]) in covered):
+                continue
+            column = matrix(np.frombuffer(text[k], np.uint8), np.array([0]), np.array([len(text[k])]), WINDOW)
+            if not chosen or similarities(column, chosen).max() < 0.5:
+                chosen.append(text[k])
+                covered |= {int(g) for g in runs_of[k] if z[g] > LEAST_Z}
     return chosen
 
 
