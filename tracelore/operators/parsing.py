@@ -16,18 +16,33 @@ def classify(text: Column, table: str = "seven") -> Column:
 
     Confidence is 1 with one class matching, 0.7 with several, 0.5 with none, 0 for blank text.
     """
+    patterns = TABLES[table]
+
+    def judge(s: Column) -> Column:
+        # per class one look for any pattern; which pattern it was is asked of the winner only
+        seen = F.struct(*[s.rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)).alias(b) for b, ps in patterns.items()])
+
+        def name(hits: Column) -> Column:
+            winner, which = F.lit("F"), F.lit(None).cast("string")
+            for b, ps in reversed(patterns.items()):
+                first = F.lit(None).cast("string")
+                for p in reversed(ps):
+                    first = F.when(s.rlike("(?i)" + p), F.lit(p)).otherwise(first)
+                hit = hits.getField(b)
+                winner, which = F.when(hit, F.lit(b)).otherwise(winner), F.when(hit, first).otherwise(which)
+            n = sum((hits.getField(b).cast("int") for b in patterns), F.lit(0))
+            return F.struct(winner.alias("behavior"), F.when(n == 0, 0.5).when(n == 1, 1.0).otherwise(0.7).alias("confidence"), which.alias("matched_pattern"))
+
+        return _once(seen, name)
+
+    blank = F.struct(F.lit("F").alias("behavior"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("matched_pattern"))
     s = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    # per class one look for any pattern; which pattern it was is asked of the winner only
-    hits = {b: s.rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)) for b, ps in TABLES[table].items()}
-    winner, which = F.lit("F"), F.lit(None).cast("string")
-    for b, ps in reversed(TABLES[table].items()):
-        first = F.lit(None).cast("string")
-        for p in reversed(ps):
-            first = F.when(s.rlike("(?i)" + p), F.lit(p)).otherwise(first)
-        winner, which = F.when(hits[b], F.lit(b)).otherwise(winner), F.when(hits[b], first).otherwise(which)
-    n = sum((h.cast("int") for h in hits.values()), F.lit(0))
-    confidence = F.when(s == "", 0.0).when(n == 0, 0.5).when(n == 1, 1.0).otherwise(0.7)
-    return F.struct(F.when(s == "", "F").otherwise(winner).alias("behavior"), confidence.alias("confidence"), F.when(s != "", which).alias("matched_pattern"))
+    return _once(s, lambda x: F.when(x == "", blank).otherwise(judge(x)))
+
+
+def _once(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def classify_legacy(text: Column) -> Column:
