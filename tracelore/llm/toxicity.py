@@ -26,7 +26,7 @@ from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, lean, prefix_hash
 
 #: Kernel: subsequence length, weight of a letter's place, power of the normalised kernel.
 ORDER, DECAY, SHARPEN = 4, np.float32(0.8), 2
-#: Most landmarks, and toxic documents of the sample that must hold a landmark (for a run of it that counts as telling, four times as many).
+#: Most landmarks, and toxic documents of the sample that must hold a landmark.
 LANDMARKS, SUPPORT = 56, 4
 #: Standard errors by which a landmark must tell the classes apart; thousands of units are tried.
 LEAST_Z = 6
@@ -174,9 +174,11 @@ def unit_values(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray, landm
 
 def sentence_sums(value: np.ndarray, key: np.ndarray, times: np.ndarray, per_sentence: np.ndarray) -> np.ndarray:
     """Sum of value[key] over the distinct keys of each sentence; times is the number of keys of each unit."""
-    sentence = np.repeat(np.repeat(np.arange(len(per_sentence)), per_sentence), times)
+    some = value != 0 if value.ndim == 1 else value.any(1)
+    key_some = some[key] if len(key) else np.zeros(0, bool)
+    sentence = np.repeat(np.repeat(np.arange(len(per_sentence)), per_sentence), times)[key_some]
     n = max(len(value), 1)
-    pairs = np.unique(sentence * n + key)
+    pairs = np.unique(sentence * n + key[key_some])
     out = np.zeros((len(per_sentence), *value.shape[1:]))
     if len(pairs):
         first = np.flatnonzero(np.append(True, pairs[1:] // n != pairs[:-1] // n))
@@ -223,59 +225,34 @@ class Scorer:
 
 
 def choose_landmarks(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, y: np.ndarray) -> list[bytes]:
-    """Units that tell the classes apart best, by themselves or by a run of ORDER bytes, unlike each other."""
+    """Units that tell the classes apart best and are unlike each other."""
     ok = np.flatnonzero(ends - starts >= ORDER)
     _, at, back = np.unique(span_hash(prefix_hash(letters), starts[ok], ends[ok]), return_index=True, return_inverse=True)
     at = ok[at]
-    s, size = starts[at], np.minimum(ends[at] - starts[at], WINDOW)
-    runs = size - ORDER + 1
-    unit = np.repeat(np.arange(len(at)), runs)
-    place = np.repeat(s, runs) + np.arange(len(unit)) - np.repeat(np.cumsum(runs) - runs, runs)
-    gram = np.zeros(len(unit), np.uint64)
-    for k in range(ORDER):
-        gram = (gram << np.uint64(8)) | letters[place + k].astype(np.uint64)
-    _, gram = np.unique(gram, return_inverse=True)
     pairs = np.unique(back.ravel() * (len(y) + 1) + doc[ok])
-    pairs = np.stack([pairs // (len(y) + 1), pairs % (len(y) + 1)], 1)
-    # documents by run, each document once
-    per = np.bincount(unit, minlength=len(at))
-    first = np.cumsum(per) - per
-    rep = per[pairs[:, 0]]
-    gram_at = np.repeat(first[pairs[:, 0]], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
-    gd = np.unique(gram[gram_at].astype(np.int64) * (len(y) + 1) + np.repeat(pairs[:, 1], rep))
-    g, d = gd // (len(y) + 1), gd % (len(y) + 1)
+    unit, of = pairs // (len(y) + 1), pairs % (len(y) + 1)
     n_pos, n_neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-
-    def contrast(key: np.ndarray, of: np.ndarray, n: int, support: int) -> np.ndarray:
-        """How many standard errors a key's share of toxic documents exceeds that of the others; 0 where it is not ten times as high."""
-        pos, neg = (np.bincount(key, side[of].astype(float), n) for side in (y, 1 - y))
-        both = (pos + neg) / (n_pos + n_neg)
-        z = (pos / n_pos - neg / n_neg) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_neg) + 1e-9)
-        return np.where((pos >= support) & (pos / n_pos >= 10 * neg / n_neg), z, 0)
-
-    whole = contrast(pairs[:, 0], pairs[:, 1], len(at), SUPPORT)
-    z = contrast(g, d, int(gram.max(initial=-1)) + 1, 4 * SUPPORT)
-    part = np.zeros(len(at))
-    np.maximum.at(part, unit, z[gram])
-    text = [bytes(letters[a : min(b, a + WINDOW)]) for a, b in zip(starts[at], ends[at], strict=True)]
-    order = sorted(np.flatnonzero(whole > LEAST_Z).tolist(), key=lambda k: (-whole[k], text[k]))[:2000]
-    # first one unit for each run that tells the classes apart, then more units that are unlike those
-    lead = np.full(len(at), -1)
-    strong = np.flatnonzero(z[gram] == part[unit])
-    lead[unit[strong][::-1]] = gram[strong][::-1]
-    runs_of = np.split(gram, first[1:]) if len(at) else []
+    # by how many standard errors the share of toxic documents that hold a unit exceeds that of the others
+    pos, neg = (np.bincount(unit, side[of].astype(float), len(at)) for side in (y, 1 - y))
+    both = (pos + neg) / (n_pos + n_neg)
+    z = (pos / n_pos - neg / n_neg) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_neg) + 1e-9)
+    telling = np.flatnonzero((z > LEAST_Z) & (pos >= SUPPORT) & (pos / n_pos >= 10 * neg / n_neg))
+    text = {k: bytes(letters[starts[at[k]] : min(ends[at[k]], starts[at[k]] + WINDOW)]) for k in telling.tolist()}
+    order = sorted(text, key=lambda k: (-z[k], text[k]))[:2000]
+    # first units that share no run of ORDER bytes, so that each stem has its landmark; then more units that are unlike those
     chosen: list[bytes] = []
-    covered: set[int] = set()
+    covered: set[bytes] = set()
     for fresh in (True, False):
         for k in order:
             if len(chosen) >= LANDMARKS:
                 break
-            if text[k] in chosen or (fresh and z[lead[k]] > LEAST_Z and int(lead[k]) in covered):
+            runs = {text[k][i : i + ORDER] for i in range(len(text[k]) - ORDER + 1)}
+            if text[k] in chosen or (fresh and runs & covered):
                 continue
             column = matrix(np.frombuffer(text[k], np.uint8), np.array([0]), np.array([len(text[k])]), WINDOW)
             if not chosen or similarities(column, chosen).max() < 0.5:
                 chosen.append(text[k])
-                covered |= {int(g) for g in runs_of[k] if z[g] > LEAST_Z}
+                covered |= runs
     return chosen
 
 
@@ -328,7 +305,7 @@ def train(rows: list[tuple[int, str]], sizes: dict[int, int] | None = None) -> M
     good = value > 1e-4 * value.max()
     whiten = vector[:, good] / np.sqrt(value[good])
     hashes, at, back = np.unique(span_hash(prefix_hash(letters), first, last), return_index=True, return_inverse=True)
-    mapped = unit_values(letters, first[at], last[at], marks, whiten.astype(np.float32)).astype(np.float64)
+    mapped = unit_values(letters, first[at], last[at], marks, whiten.astype(np.float32))
     x = sentence_sums(mapped, back.ravel(), times, per_sentence)
     # a landmark with one letter more inside is as toxic as the landmark itself
     spread = [z[:k] + b"x" + z[k:] for z in marks for k in range(1, len(z)) if len(z) < WINDOW]
