@@ -42,8 +42,11 @@ def distances(sequences: DataFrame, pool: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = {k: np.eye(size, dtype=np.float32)[np.array([encode(g) for g in gs])].reshape(len(gs), -1) for k, gs in shared.value.items()}
+        grams = np.concatenate([np.array(gs, object) for gs in shared.value.values()]) if shared.value else np.zeros(0, object)
+        lengths = np.concatenate([np.full(len(gs), k) for k, gs in shared.value.items()]) if shared.value else np.zeros(0, int)
         for part in parts:
-            for item, y, seq in zip(part["item_id"], part["y"], part["seq"], strict=True):
+            found = []
+            for seq in part["seq"]:
                 codes = np.eye(size, dtype=np.float32)[encode(seq)]
                 for k, gs in shared.value.items():
                     if len(seq) >= k:
@@ -51,7 +54,9 @@ def distances(sequences: DataFrame, pool: DataFrame) -> DataFrame:
                         dist = 1 - (windows @ tables[k].T).max(0).round().astype(float) / k
                     else:
                         dist = np.ones(len(gs))
-                    yield pd.DataFrame({"item_id": item, "y": y, "k": k, "gram": gs, "dist": dist})
+                    found.append(dist)
+            n = len(part)
+            yield pd.DataFrame({"item_id": np.repeat(part["item_id"].to_numpy(), len(grams)), "y": np.repeat(part["y"].to_numpy(), len(grams)), "k": np.tile(lengths, n), "gram": np.tile(grams, n), "dist": np.concatenate(found) if found else np.zeros(0)})
 
     return sequences.select("item_id", "y", "seq").mapInPandas(run, "item_id long, y long, k int, gram string, dist double")
 
