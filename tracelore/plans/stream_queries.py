@@ -33,7 +33,7 @@ def _written(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> Da
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly windows of the event stream; update mode over one batch writes each window once."""
     out = _written(spark, T.windowed_counts(_events(spark, sf_dir)), "windows", "update")
-    return rounded(out.select("start", "event_type", "n", "value"))
+    return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "value"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -41,4 +41,4 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with a gap of twelve hours, from the same plan as the stream's."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rounded(T.sessions(e, "12 hours").select("user_id", "start", "n", "value"))
+    return rounded(T.sessions(e, "12 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "value"))
