@@ -245,10 +245,12 @@ def test_forest(edges):
     assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: r for x, r in label.items() if x != r}
 
 
-def test_connected(spark):
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (200, 100)]
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_connected(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (200, 100)] + [(300, i) for i in range(310, 330)]
     got = {r["u"]: r["v"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {101: 100, 200: 100}
+    assert got == {i: 0 for i in range(1, 41)} | {101: 100, 200: 100} | {i: 300 for i in range(310, 330)}
 
 
 # 5

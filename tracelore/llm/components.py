@@ -1,8 +1,8 @@
 """Connected components of a graph given as rows, by alternating large and small stars.
 
-No task needs more than its share of the edges: stars of a hub are joined with one row
-that holds the hub's minimum, and the hub's rows may be split over tasks. Each round is
-written to the shared folder, so a lost executor costs one round at most.
+No task needs more than its share of the edges: the minimum of a hub is broadcast, and
+its rows stay where they are. Each round is written to the shared folder, so a lost
+executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tracelore.llm.textkit import drop_stored, lean, stored
 
 #: Edges that a task contracts at once before they are shuffled.
 CONTRACTED = 1_000_000
+#: Edges that make a node a hub, and most hubs: the bound of a broadcast of two numbers each.
+HUB, MOST_HUBS = 1000, 10_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,15 +57,23 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """``rows`` (u, v) with m of their u. Hubs, of which there are 2 * n_edges / limit at most, are broadcast, so that their rows stay where they are."""
+    limit = max(HUB, 2 * n_edges // MOST_HUBS)
+    hubs = F.broadcast(least.where(F.col("n") >= limit).select("u", "m"))
+    others = least.where(F.col("n") < limit).select("u", "m")
+    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
+
+
+def _large(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+    return _with_least(both.where("v > u"), least, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+def _small(edges: DataFrame, n_edges: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(edges, least, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -81,7 +91,9 @@ def connected(edges: DataFrame) -> DataFrame:
     now = stored(pairs.mapInArrow(lean(_contract), "u long, v long").distinct(), "edges")
     mark = _print(now)
     while mark[0]:
-        new = stored(_small(_large(now)), "edges")
+        half = stored(_large(now, mark[0]), "edges")
+        new = stored(_small(half, mark[0]), "edges")
+        drop_stored(half)
         drop_stored(now)
         now, last, mark = new, mark, _print(new)
         if mark == last:
