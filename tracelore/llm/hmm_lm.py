@@ -30,7 +30,7 @@ KEPT, CLASSES, LOCAL = 16_384, 256, 262_144
 #: Training texts that the first guess of the states is made from, and words of each that it looks at.
 SEED_TEXTS, SEED_WORDS = 1500, 2000
 #: Words that a worker runs the recursion over at once, unless one text has more.
-GROUP = 1_500_000
+GROUP = 700_000
 #: The hash that stands for the end of a text.
 END = 0x5EED_0F_7E57
 _SMOOTH = 0.5
