@@ -27,8 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without passages of 400 bytes that stand anywhere else as well."""
-    return suffix_dedup.remove_repeats(docs)
+    """All rows, without passages of over 50 words, or of 400 bytes, that stand anywhere else as well."""
+    return suffix_dedup.remove_passages(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

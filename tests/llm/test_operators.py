@@ -372,6 +372,37 @@ def test_removed_text_is_valid(spark):
     assert got[1]["text"] == "" and got[3]["text"] == "plain" and got[2]["n_chars"] == len(got[2]["text"])
 
 
+def brute_passages(texts, words):
+    """Words that stay where runs of ``words`` words that stand twice go."""
+    all_ = [WORD.findall(t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + words]) for w in all_ for i in range(len(w) - words + 1))
+    gone = [{j for i in range(len(w) - words + 1) if seen[tuple(w[i : i + words])] > 1 for j in range(i, i + words)} for w in all_]
+    return [[x for j, x in enumerate(w) if j not in g] for w, g in zip(all_, gone, strict=True)]
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_repeated_passages_by_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(11)
+    make = lambda n: [str(rng.integers(0, 10**3)) for _ in range(n)]
+    texts = []
+    for n in range(46, 61):
+        passage = make(n)
+        texts += [" ".join(make(30) + passage + make(40)), "\n ".join(make(7) + passage + make(90))]
+    texts += ["a b c d e " * 30, None, "", "ü " * 60, " ".join(make(50)), texts[0]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeats(spark, rows, SF).collect()}
+    assert [WORD.findall(got[i] or "") for i in range(len(texts))] == brute_passages(texts, 51)
+
+
+def test_repeated_passages_of_few_long_words(spark):
+    rng = np.random.default_rng(12)
+    passage = " ".join("".join(rng.choice(list("abcdefgh"), 30)) for _ in range(20))
+    rows = spark.createDataFrame([(1, f"one two {passage} three"), (2, f"{passage} four"), (3, "五" * 300 + "x"), (4, "y" + "五" * 300)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_passages(rows).collect()}
+    assert got[1].split()[:2] == ["one", "two"] and len(got[1]) < 20 and len(got[2]) < 20 and got[3] == "x" and got[4] == "y"
+
+
 # 9
 
 

@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from tracelore.llm import textkit
 from tracelore.llm.suffix_array import longest_shared, suffix_array
-from tracelore.llm.textkit import chunks, ids_of, lean, left_by_key, likely_in, mix, prefix_hash, shuffle_width, span_hash, stored
+from tracelore.llm.textkit import chunks, ids_of, lean, left_by_key, likely_in, mix, prefix_hash, shuffle_width, span_hash, stored, word_bounds, word_hashes
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 400, 100
+#: Words of a repeated passage (over 50); characters that stand for a word in ``word_codes``.
+WORDS, CODE = 51, 7
 #: Different segments of one anchor that may go to one shard; block sizes for those of more.
 HOT, BLOCKS = 256, (64, 16, 4, 1)
 #: Bytes of one suffix array.
@@ -343,3 +345,104 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     joined = left_by_key(rows, "_key", stored(per, "runs"), "_key2").select(*names, "_runs")
     out = joined.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """CODE characters of ASCII for each word, from its hash; only the first has bit 6, so equal strings of codes stand at whole words."""
+    codes = (word_hashes(data, starts, ends)[:, None] >> np.arange(0, 6 * CODE, 6, dtype=np.uint64)).astype(np.uint8) & 63
+    codes[:, 0] |= 64
+    return codes
+
+
+def _as_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) with each text as the codes of its words."""
+    for batch in batches:
+        for first, end, data, offsets in chunks(batch.column(1)):
+            starts, ends, per_doc = word_bounds(data, offsets)
+            where = np.concatenate([[0], np.cumsum(CODE * per_doc)]).astype(np.int32)
+            text = pa.Array.from_buffers(pa.string(), end - first, [None, pa.py_buffer(where), pa.py_buffer(word_codes(data, starts, ends).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), text], ["key", "text"])
+
+
+def wordy(data: np.ndarray, offsets: np.ndarray, words: int, length: int) -> np.ndarray:
+    """For each text whether all of its strings of ``length`` bytes hold ``words`` words, with what bounds these on both sides.
+
+    The fewest words are in strings that begin with a word, which is then not bounded, or with the text.
+    """
+    starts, ends, per_doc = word_bounds(data, offsets)
+    after = np.cumsum(per_doc)
+    doc = np.repeat(np.arange(len(per_doc)), per_doc)
+    # (text, begin, first bounded word) of these strings
+    text = np.concatenate([doc, np.arange(len(per_doc))])
+    begin = np.concatenate([starts, offsets[:-1]])
+    last = np.concatenate([np.arange(len(starts)) + 1, np.searchsorted(starts, offsets[:-1], side="right")]) + words - 1
+    few = last >= after[text]
+    few[~few] = ends[last[~few]] >= begin[~few] + length
+    few &= begin + length <= offsets[text + 1]
+    out = np.ones(len(per_doc), bool)
+    out[text[few]] = False
+    return out
+
+
+def _not_wordy(words: int, length: int):
+    """The rows (key, text) whose texts are not ``wordy``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [wordy(data, offsets, words, length) for _, _, data, offsets in chunks(batch.column(1))]
+            yield batch.filter(pa.array(~np.concatenate(parts) if parts else np.zeros(0, bool)))
+
+    return run
+
+
+def passages(text: str, runs: list[dict], words: int, length: int) -> list[tuple[int, int]]:
+    """Byte spans of whole characters that the runs of a text cover; runs are of starts in bytes, or in the codes of words."""
+    raw = text.encode()
+    found = [x for x in runs if x["coded"]]
+    spans = merged([r["lo"] for r in runs if not r["coded"]], [r["hi"] for r in runs if not r["coded"]], length)
+    if found:
+        starts, ends, _ = word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        whole = [(a, b) for a, b in ((-(-r["lo"] // CODE), r["hi"] // CODE) for r in found) if a <= b]
+        spans += [(int(starts[a]), int(ends[b - 1])) for a, b in merged([a for a, _ in whole], [b for _, b in whole], words)]
+    out = []
+    for a, b in merged([a for a, _ in spans], [b for _, b in spans], 0):
+        while a < len(raw) and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append((a, b))
+    return out
+
+
+def remove_passages(docs: DataFrame, *, words: int = WORDS, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` without runs of ``words`` words, or of ``length`` bytes, that stand anywhere else as well; all columns, and n_chars follows the text.
+
+    Words are compared by hash, whatever white space is between them. Where ``length`` bytes
+    always hold ``words`` words the words alone decide; texts with longer ones are compared
+    by bytes too, so nothing that ``remove_repeats`` finds stays but parts of words.
+    """
+    names = docs.columns
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    keyed_rows = rows.select(F.col("_key").alias("key"), "text")
+    coded, _ = spans(keyed_rows.mapInArrow(lean(_as_codes), "key long, text string"), length=CODE * words, gram=CODE * max(1, words // 4))
+    plain, _ = spans(keyed_rows.mapInArrow(lean(_not_wordy(words, length)), "key long, text string"), length=length, gram=gram)
+    runs = coded.withColumn("coded", F.lit(True)).union(plain.withColumn("coded", F.lit(False)))
+    per = runs.groupBy(F.col("key").alias("_key2")).agg(F.collect_list(F.struct("coded", "lo", "hi")).alias("_runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            out = []
+            for text, cut in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if cut:
+                    raw, kept, here = text.encode(), [], 0
+                    for a, b in passages(text, cut, words, length):
+                        kept.append(raw[here:a])
+                        here = max(a, b)
+                    text = b"".join([*kept, raw[here:]]).decode()
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))], schema=pa.schema([batch.schema.field(k) for k in range(len(names))]))
+
+    joined = left_by_key(rows, "_key", stored(per, "runs"), "_key2").select(*names, "_runs")
+    out = joined.mapInArrow(lean(run), docs.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
