@@ -426,6 +426,38 @@ def test_vector_links(spark):
     assert {r["component_id"] for r in got if r["vec_id"] in (0, 1000, 1001)} == {min(r["component_id"] for r in got if r["vec_id"] in (0, 1000, 1001))}
 
 
+def test_vector_links_over_many_centres(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "PER_CENTRE", 4)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(800, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1)[:, None] * x
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([x, y]))]
+    got = {r["vec_id"]: r for r in vector_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[k]["n_links"] == 1 and got[k]["component_id"] == k % 800 for k in range(1600))
+
+
+def test_graph_that_misses_links_is_not_used(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 8))[rng.integers(0, 300, 900)] + 0.02 * rng.normal(size=(900, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    queries, weight = np.arange(0, 900, 2), rng.integers(1, 5, 900)
+    hit = x @ x.T >= vector_graph.LINK
+    np.fill_diagonal(hit, False)
+    want = (hit @ weight)[queries]
+    monkeypatch.setattr(vector_graph, "DIRECT", 0)
+    monkeypatch.setattr(vector_graph, "BLOCK", 9000)
+    total, _, _ = vector_graph.linked(x, queries, weight)
+    assert (total <= want).all() and (total == want).mean() >= vector_graph.RECALL
+    blind = lambda x, queries, *_: (np.zeros(len(queries), np.int64), *(np.zeros(0, np.int64),) * 2)
+    monkeypatch.setattr(vector_graph, "in_range", blind)
+    total, u, v = vector_graph.linked(x, queries, weight)
+    assert (total == want).all()
+    assert hit[u, v].all()
+
+
 # 10
 
 

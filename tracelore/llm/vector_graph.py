@@ -1,13 +1,15 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Vectors of a label are dealt to the OVERLAP nearest of a bounded number of centres;
-each shard cuts itself into overlapping leaves, links every vector of a leaf to its
-nearest ones pruned robustly, and takes the union of the leaves' adjacency lists. A
-vector is then looked for in its first shard: a greedy search from the leaves' medoids
-leads to its surroundings, and from there the search widens over all neighbours within
-range, each verified in double precision. Tasks give back one count per vector and a
-spanning forest of the links, never the pairs. A sample of vectors is compared with all
-others to audit recall; where it falls short the graph is built again with more overlap.
+Vectors of a label are dealt to their nearest of a bounded number of centres, and to every
+other one whose cell may hold a vector within range, by their distance to the plane between
+the two: all partners of a vector are in its first shard. A small shard is compared in
+blocks. A larger one cuts itself into overlapping leaves, links every vector of a leaf to
+its nearest ones pruned robustly, and takes the union of the leaves' adjacency lists; a
+greedy search from the leaves' medoids leads to a vector's surroundings, and from there the
+search widens over all neighbours within range, each verified in double precision. Each
+such shard audits the search on vectors that have links, and is compared in blocks where it
+falls short. Tasks give back one count per vector and a spanning forest of the links, never
+the pairs.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from tracelore.llm.components import connected, forest
 from tracelore.llm.textkit import lean, shuffle_width, stored
 
 LINK = 0.98
-#: Vectors per centre aimed at; most centres in all (bounds the broadcast); nearest centres that a vector goes to.
-PER_CENTRE, MOST_CENTRES, OVERLAP = 2000, 4096, 3
+#: Vectors per centre aimed at; most centres in all (bounds the broadcast).
+PER_CENTRE, MOST_CENTRES = 2000, 4096
 #: Vectors of a leaf; neighbours tried and kept; slack of the pruning; beam and most steps of the greedy search.
 LEAF, TRIED, KEPT, SLACK, BEAM, STEPS = 1024, 48, 20, 1.2, 16, 40
-#: Audit: vectors compared with all others; recall that is asked for; rebuilds at most.
-AUDITED, RECALL, REBUILDS = 200, 0.97, 2
+#: Pairs of a shard that is compared in blocks, and of one block; linked vectors that a larger shard is audited on; share of them that must have all their links.
+DIRECT, BLOCK, AUDITED, RECALL = 1 << 24, 1 << 22, 200, 0.97
 
 
 def leaves(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
@@ -168,6 +170,52 @@ def in_range(x: np.ndarray, queries: np.ndarray, lists: np.ndarray, start: np.nd
     return total, u, v
 
 
+def compared(x: np.ndarray, queries: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``in_range`` gives, by a comparison of the queries with all rows."""
+    total = np.zeros(len(queries), np.int64)
+    edges: list[np.ndarray] = []
+    step = max(1, BLOCK // max(len(x), 1))
+    for a in range(0, len(queries), step):
+        part = queries[a : a + step]
+        q, r = np.nonzero(x[part] @ x.T >= LINK)
+        other = r != part[q]
+        q, r = q[other], r[other]
+        total[a : a + step] = np.bincount(q, weight[r], len(part)).astype(np.int64)
+        if len(q):
+            edges.append(np.stack(forest(part[q], r)))
+    u, v = forest(*np.concatenate(edges, 1)) if edges else (np.zeros(0, np.int64),) * 2
+    return total, u, v
+
+
+def linked(x: np.ndarray, queries: np.ndarray, weight: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``in_range`` gives, by the graph where it finds all links of enough audited queries, else by comparison.
+
+    The audit compares queries until AUDITED have links, each counted once whatever the
+    weight of its links; where so few have any, all are compared by then.
+    """
+    if len(queries) * len(x) <= DIRECT:
+        return compared(x, queries, weight)
+    order = np.random.default_rng(seed).permutation(len(queries))
+    true, u, v, done = np.zeros(len(queries), np.int64), [], [], 0
+    step = max(1, BLOCK // len(x))
+    while done < len(queries) and np.count_nonzero(true) < AUDITED:
+        at = order[done : done + step]
+        true[at], *ties = compared(x, queries[at], weight)
+        u.append(ties[0])
+        v.append(ties[1])
+        done += len(at)
+    if done < len(queries):
+        total, s, t = in_range(x, queries, *graph(x.astype(np.float32)), weight)
+        tried = order[:done][true[order[:done]] > 0]
+        if (total[tried] == true[tried]).mean() < RECALL:
+            return compared(x, queries, weight)
+        total[order[:done]] = true[order[:done]]
+        true = total
+        u.append(s)
+        v.append(t)
+    return true, *forest(np.concatenate(u), np.concatenate(v))
+
+
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row numbers that can link, their unit vectors, their lengths): no nulls, all finite, not zero. Vectors may differ in length."""
     ok, vectors, sizes = [], [], []
@@ -219,7 +267,20 @@ def _centres(classes: DataFrame, sizes: dict[tuple, int]) -> dict[tuple, tuple[i
     return out
 
 
-def search(classes: DataFrame, overlap: int) -> DataFrame:
+def reached(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, centre, whether it is the nearest) for the centres that may be nearest to a vector in range of the row: none is beyond the plane between the row's nearest centre and them by more than the range."""
+    found = []
+    for a in range(0, len(x), 1024):
+        dots = x[a : a + 1024] @ centres.T
+        near = np.argmax(dots, axis=1)
+        apart = np.sqrt(np.maximum(2 - 2 * (centres[near] @ centres.T), 0))
+        gap = dots[np.arange(len(dots)), near][:, None] - dots
+        row, centre = np.nonzero(gap <= np.sqrt(2 - 2 * LINK) * apart + 1e-7)
+        found.append((row + a, centre, centre == near[row]))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def search(classes: DataFrame) -> DataFrame:
     """(key, n, root): links of each class found in its first shard, and rows (key, null, root) that tie linked classes."""
     spark = classes.sparkSession
     grouped = classes.groupBy("label", F.size("unit").alias("d")).agg(F.count("*").alias("n"))
@@ -245,12 +306,10 @@ def search(classes: DataFrame, overlap: int) -> DataFrame:
                     home += [True] * len(at)
                     continue
                 first, c = known[name]
-                dots = np.array([values[k] for k in at]) @ c.T
-                near = np.argsort(-dots, axis=1, kind="stable")[:, :overlap]
-                for j in range(near.shape[1]):
-                    rows += at
-                    shard += (first + near[:, j]).tolist()
-                    home += [j == 0] * len(at)
+                row, centre, nearest = reached(np.array([values[k] for k in at]), c)
+                rows += np.array(at)[row].tolist()
+                shard += (first + centre).tolist()
+                home += nearest.tolist()
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(batch.column(i).take(take) for i in range(4)), pa.array(home, pa.bool_())], ["shard", "key", "label", "unit", "weight", "home"])
 
@@ -259,9 +318,8 @@ def search(classes: DataFrame, overlap: int) -> DataFrame:
             del name
             x = np.array(rows["unit"].to_pylist())
             keys, weight, home = rows["key"].to_numpy(), rows["weight"].to_numpy(), rows["home"].to_numpy(zero_copy_only=False)
-            lists, start, medoids = graph(x.astype(np.float32))
             queries = np.flatnonzero(home)
-            total, u, v = in_range(x, queries, lists, start, medoids, weight)
+            total, u, v = linked(x, queries, weight)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([keys[queries], keys[u]])), pa.array(np.concatenate([total, np.zeros(len(u), np.int64)]), mask=np.append(np.zeros(len(queries), bool), np.ones(len(u), bool))), pa.array(np.concatenate([keys[queries], keys[v]]))], ["key", "n", "root"]
             )
@@ -291,36 +349,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]
         yield name, pa.Table.from_batches(held).combine_chunks()
 
 
-def audit(classes: DataFrame, found: DataFrame) -> float:
-    """Share of a sample's true links that the search found: the sample against all classes, in blocks."""
-    spark = classes.sparkSession
-    rows = classes.orderBy(F.xxhash64(F.col("key") + 1), "key").limit(AUDITED).select("key", "label", "unit").collect()
-    if not rows:
-        return 1.0
-    sample = spark.sparkContext.broadcast([(r["key"], r["label"], np.array(r["unit"])) for r in rows])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, label, weight = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), batch.column(3).to_numpy()
-            units = batch.column(2).to_pylist()
-            size = np.array([len(u) for u in units])
-            out: dict[int, int] = {}
-            for d in np.unique(size):
-                at = np.flatnonzero(size == d)
-                x = np.array([units[k] for k in at])
-                for key, name, u in sample.value:
-                    if len(u) == d:
-                        hit = (x @ u >= LINK) & (label[at] == name) & (keys[at] != key)
-                        out[key] = out.get(key, 0) + int(weight[at][hit].sum())
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["key", "n"])
-
-    true = {r["key"]: r["n"] for r in classes.select("key", "label", "unit", "weight").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-    wanted = spark.createDataFrame([(k,) for k in true], "key long")
-    got = {r["key"]: r["n"] for r in found.where("n IS NOT NULL").join(F.broadcast(wanted), "key").collect()}
-    all_links = sum(true.values())
-    return 1.0 if not all_links else sum(min(got.get(k, 0), n) for k, n in true.items()) / all_links
-
-
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors`` (vec_id, label, embedding).
 
@@ -333,12 +361,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     able = rows.where(F.col("label").isNotNull() & F.col("unit").isNotNull())
     named = able.withColumn("h1", F.xxhash64("unit")).withColumn("h2", F.xxhash64(F.lit(1), "unit"))
     classes = stored(named.groupBy("label", "h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "vector-classes")
-    overlap = OVERLAP
-    for _ in range(REBUILDS + 1):
-        found = stored(search(classes, overlap), "links")
-        if audit(classes, found) >= RECALL:
-            break
-        overlap *= 2
+    found = stored(search(classes), "links")
     ties = connected(found.where("n IS NULL").select("key", "root"))
     classes = classes.join(found.where("n IS NOT NULL").select("key", "n"), "key", "left").join(ties.select(F.col("u").alias("key"), F.col("v").alias("top")), "key", "left")
     classes = classes.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("top", "key").alias("top"))
