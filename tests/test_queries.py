@@ -10,7 +10,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF
+from tracelore.operators import modelling
 from tracelore.plans import catalog
+from tracelore.plans.model_queries import labelled
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +46,23 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["tfidf_baseline", "calibrated_lr"])
+def test_every_labelled_row_is_predicted_once(spark, name):
+    got = [r["item_id"] for r in catalog.QUERIES[name](spark, SF).select("item_id").collect()]
+    assert sorted(got) == sorted(r["item_id"] for r in labelled(spark, SF).select("item_id").collect())
+
+
+@pytest.mark.parametrize(("query", "kind", "option", "size"), [("stacked_forest", "RandomForestClassifier", "numTrees", 100), ("tfidf_baseline", "CountVectorizer", "vocabSize", 20_000)])
+def test_models_have_their_default_size(spark, monkeypatch, query, kind, option, size):
+    def stop(**options):
+        raise StopIteration(options[option])
+
+    monkeypatch.setattr(modelling, kind, stop)
+    with pytest.raises(StopIteration) as seen:
+        catalog.QUERIES[query](spark, SF)
+    assert seen.value.value == size
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

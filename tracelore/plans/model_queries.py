@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +33,12 @@ def stacked_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stacked_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.fold_metrics(M.out_of_fold(labelled(spark, sf_dir), COLUMNS, "rf", trees=20)))
+    return rounded(M.fold_metrics(M.out_of_fold(labelled(spark, sf_dir), COLUMNS, "rf")))
 
 
 @query()
 def calibrated_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.nested_isotonic(labelled(spark, sf_dir), COLUMNS, folds=3, inner=2)
+    return M.nested_isotonic(labelled(spark, sf_dir), COLUMNS)
 
 
 @query()
@@ -52,8 +54,8 @@ def transfer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tfidf_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id")
-    model = M.tfidf(d.where("fold <> 0"), vocabulary=2000)
-    return M.probabilities(model, d.where("fold = 0"), [], ["item_id", "grp", "y"])
+    parts = [M.probabilities(M.tfidf(d.where(F.col("fold") != k)), d.where(F.col("fold") == k), [], ["item_id", "grp", "y"]) for k in range(5)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query()
