@@ -19,7 +19,7 @@ Removed spans are unions of repeated strings, judged on the input.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracelore.llm import textkit
 from tracelore.llm.suffix_array import longest_shared, suffix_array
-from tracelore.llm.textkit import chunks, ids_of, lean, left_by_key, likely_in, mix, prefix_hash, shuffle_width, span_hash, stored, word_bounds, word_hashes
+from tracelore.llm.textkit import chunks, drop_stored, ids_of, lean, left_by_key, likely_in, mix, prefix_hash, shuffle_width, span_hash, stored, word_bounds, word_hashes
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 400, 100
@@ -37,8 +37,8 @@ LENGTH, GRAM = 400, 100
 WORDS, CODE = 51, 7
 #: Different segments of one anchor that may go to one shard; block sizes for those of more.
 HOT, BLOCKS = 256, (64, 16, 4, 1)
-#: Bytes of one suffix array.
-SLAB = 2 << 20
+#: Bytes of one suffix array, and of texts that are cut at once: a worker holds some 100 bytes for each.
+SLAB, CUT_BYTES = 1 << 20, 1 << 18
 _PLACE = 22
 
 
@@ -83,7 +83,7 @@ def _cut(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            parts = [(h, s, d + first, lo, hi) for first, _, data, offsets in chunks(batch.column(1)) for h, s, d, lo, hi in [segments(data, offsets, length, gram)]]
+            parts = [(h, s, d + first, lo, hi) for first, _, data, offsets in chunks(batch.column(1), CUT_BYTES) for h, s, d, lo, hi in [segments(data, offsets, length, gram)]]
             h, s, d, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
             if not len(h):
                 continue
@@ -196,14 +196,20 @@ def _split_blocks(length: int, block: int):
     return run
 
 
-def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(key, lo, hi): runs of starts whose strings repeat; and (key, doc text) of the texts they are in.
+View = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, view: View | None = None) -> DataFrame:
+    """(key, lo, hi): runs of starts whose strings repeat.
 
     ``docs`` has key and text; rows with equal keys hold equal rows, each its own document.
+    ``view`` turns batches of (key, text) to the texts that are compared, in the worker that
+    reads them: runs are then of its texts.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    cut = stored(docs.mapInArrow(lean(_cut(length, gram)), SEGMENTS), "segments")
+    cuts = _cut(length, gram)
+    cut = stored(docs.select("key", "text").mapInArrow(lean(cuts if view is None else lambda batches: cuts(view(batches))), SEGMENTS), "segments")
     real = cut.where("n > 0")
     kinds = stored(real.groupBy("h", "seg").agg(F.sum("n").alias("c"), F.min(F.struct("key", "lo", "hi")).alias("at")), "kinds")
     anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum((F.col("c") == 1).cast("long")).alias("singles"))
@@ -213,7 +219,8 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     # the texts that matter further on: those with an open or a repeated segment
     wanted = open_.select("key").union(whole.select("key")).distinct()
     wanted = stored(wanted, "wanted")
-    texts = stored(likely_in(docs.select("key", "text"), "key", wanted).join(wanted, "key").dropDuplicates(["key"]), "texts")
+    texts = likely_in(docs.select("key", "text"), "key", wanted).join(wanted, "key").dropDuplicates(["key"])
+    texts = stored(texts if view is None else texts.mapInArrow(lean(view), "key long, text string"), "texts")
     piece = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
     pieces = open_.join(texts, "key").select("h", "key", "lo", "hi", "single", "kinds", piece.alias("piece"))
     pieces = stored(pieces, "pieces")
@@ -223,7 +230,10 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     found = stored(found, "found")
     if hot.limit(1).count():
         found = found.union(_hot(hot, length, gram))
-    return whole.union(found), texts
+    runs = stored(whole.union(found), "spans")
+    for done in (cut, kinds, open_, whole, wanted, texts, pieces):
+        drop_stored(done)
+    return runs
 
 
 def _hot(hot: DataFrame, length: int, gram: int) -> DataFrame:
@@ -308,7 +318,7 @@ def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) ->
     documents of their own, so all of their strings repeat.
     """
     rows = keyed(docs.select("doc_id", "text"))
-    runs, _ = spans(rows.select("key", "text"), length=length, gram=gram)
+    runs = spans(rows.select("key", "text"), length=length, gram=gram)
     per = runs.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     per = stored(per, "runs")
     return left_by_key(rows, "key", per.withColumnRenamed("key", "_k"), "_k").select("doc_id", "text", "runs").mapInArrow(lean(_digest(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -321,7 +331,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     """
     names = docs.columns
     rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    runs, _ = spans(rows.select(F.col("_key").alias("key"), "text"), length=length, gram=gram)
+    runs = spans(rows.select(F.col("_key").alias("key"), "text"), length=length, gram=gram)
     per = runs.groupBy(F.col("key").alias("_key2")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +367,7 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def _as_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) with each text as the codes of its words."""
     for batch in batches:
-        for first, end, data, offsets in chunks(batch.column(1)):
+        for first, end, data, offsets in chunks(batch.column(1), CUT_BYTES):
             starts, ends, per_doc = word_bounds(data, offsets)
             where = np.concatenate([[0], np.cumsum(CODE * per_doc)]).astype(np.int32)
             text = pa.Array.from_buffers(pa.string(), end - first, [None, pa.py_buffer(where), pa.py_buffer(word_codes(data, starts, ends).tobytes())])
@@ -389,7 +399,7 @@ def _not_wordy(words: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [wordy(data, offsets, words, length) for _, _, data, offsets in chunks(batch.column(1))]
+            parts = [wordy(data, offsets, words, length) for _, _, data, offsets in chunks(batch.column(1), CUT_BYTES)]
             yield batch.filter(pa.array(~np.concatenate(parts) if parts else np.zeros(0, bool)))
 
     return run
@@ -424,8 +434,8 @@ def remove_passages(docs: DataFrame, *, words: int = WORDS, length: int = LENGTH
     names = docs.columns
     rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     keyed_rows = rows.select(F.col("_key").alias("key"), "text")
-    coded, _ = spans(keyed_rows.mapInArrow(lean(_as_codes), "key long, text string"), length=CODE * words, gram=CODE * max(1, words // 4))
-    plain, _ = spans(keyed_rows.mapInArrow(lean(_not_wordy(words, length)), "key long, text string"), length=length, gram=gram)
+    coded = spans(keyed_rows, length=CODE * words, gram=CODE * max(1, words // 4), view=_as_codes)
+    plain = spans(keyed_rows, length=length, gram=gram, view=_not_wordy(words, length))
     runs = coded.withColumn("coded", F.lit(True)).union(plain.withColumn("coded", F.lit(False)))
     per = runs.groupBy(F.col("key").alias("_key2")).agg(F.collect_list(F.struct("coded", "lo", "hi")).alias("_runs"))
 
