@@ -10,6 +10,8 @@ as its UTF-8 bytes (byte fallback).
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +27,7 @@ UNKNOWN = 10.0
 MARK = "▁"
 #: Pieces of text whose counts a worker remembers at once.
 REMEMBERED = 300_000
-_COUNTERS: dict[int, PieceCounter] = {}
+_COUNTERS: dict[bytes, PieceCounter] = {}
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
@@ -95,8 +97,8 @@ class PieceCounter(dict):
 
 
 def counter_of(vocab: list[tuple[str, float]]) -> PieceCounter:
-    """The worker's counter for a vocabulary."""
-    key = hash((len(vocab), tuple(vocab[:64]), tuple(vocab[-64:])))
+    """The worker's counter for a vocabulary, known by a digest of all its pieces and scores."""
+    key = hashlib.blake2b(pickle.dumps(vocab), digest_size=16).digest()
     if key not in _COUNTERS:
         _COUNTERS.clear()
         _COUNTERS[key] = PieceCounter(vocab)
