@@ -12,7 +12,7 @@ only words among the LOCAL most frequent (a fixed number) are looked up in a bro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from tracelore.llm.textkit import LOWER, chunks, fold, ids_of, lean, stored, word_bounds, word_hashes
 
-#: Latent states; rounds of Baum-Welch over all training texts.
-STATES, ROUNDS = 8, 3
+#: Latent states; most rounds of Baum-Welch over all training texts, and the gain in log10 a token at which they end.
+STATES, ROUNDS, SETTLED = 8, 6, 0.002
+#: Passes over all training texts that make the first guess of the states: how sharply each tells the states apart.
+HEATS = (0.1, 0.3, 1.0, 1.0, 1.0)
 #: Words with an emission of their own; classes of the others; words whose counts are broadcast (16 bytes each).
 KEPT, CLASSES, LOCAL = 16_384, 256, 262_144
-#: Training texts that the first guess of the states is made from, and words of each that it looks at.
-SEED_TEXTS, SEED_WORDS = 1500, 2000
+#: Bands of counts to each doubling, by which the most frequent words are told.
+BANDS = 16
 #: Words that a worker runs the recursion over at once, unless one text has more.
 GROUP = 700_000
 #: The hash that stands for the end of a text.
@@ -89,8 +91,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def lookup_of(counts: DataFrame) -> Lookup:
-    """What tasks need of the counts; the driver gets LOCAL rows and CLASSES sums."""
-    top = counts.where(F.col("k") >= 0).orderBy(F.col("c").desc(), "h").limit(LOCAL).toArrow()
+    """What tasks need of the counts; the driver gets LOCAL rows at most, CLASSES sums and a count for each band.
+
+    The words of the highest bands go out that have LOCAL words at most together.
+    """
+    band = F.floor(F.log2("c") * BANDS).cast("int")
+    words = counts.where(F.col("k") >= 0)
+    room, least = LOCAL, None
+    for r in sorted(words.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["band"]
+    top = words.where(band >= F.lit(least)).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy().astype(np.int64)
     symbol = np.where(np.arange(len(h)) < KEPT, np.arange(len(h)), KEPT + top["k"].to_numpy().astype(np.int64))
     sums = {r["k"]: (r["c"], r["n"]) for r in counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
@@ -201,10 +214,10 @@ def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray, kind: type =
     return out
 
 
-def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of (symbol, state), (state, state) and first states over the sequences."""
+def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of (symbol, state), (state, state) and first states over the sequences, and their log10 probability."""
     size, states = model.emit.shape
-    emit_n, move_n, start_n = np.zeros((size, states)), np.zeros((states, states)), np.zeros(states)
+    emit_n, move_n, start_n, likely = np.zeros((size, states)), np.zeros((states, states)), np.zeros(states), 0.0
     first = np.cumsum(lengths) - lengths
     move, start, table = (x.astype(np.float32) for x in (model.move, model.start, model.emit))
     back_move = np.ascontiguousarray(move.T)
@@ -218,6 +231,7 @@ def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> t
             inverse[at : at + k] = r = 1 / a.sum(1)
             np.multiply(a, r[:, None], out=alpha[at : at + k])
             before, at = at, at + k
+        likely -= float(np.log10(inverse, dtype=np.float64).sum())
         local *= inverse[:, None]
         beta = np.ones((len(rows), states), np.float32)
         at = len(s)
@@ -232,7 +246,7 @@ def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> t
         start_n += alpha[: len(rows)].sum(0)
         for state in range(states):
             emit_n[:, state] += np.bincount(s, alpha[:, state], size)
-    return emit_n, move_n * model.move, start_n
+    return emit_n, move_n * model.move, start_n, likely
 
 
 def estimate(emit_n: np.ndarray, move_n: np.ndarray, start_n: np.ndarray, prior: np.ndarray) -> Model:
@@ -241,65 +255,81 @@ def estimate(emit_n: np.ndarray, move_n: np.ndarray, start_n: np.ndarray, prior:
     return Model((start_n + 1) / (start_n + 1).sum(), (move_n + 1) / (move_n + 1).sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def first_guess(rows: list[np.ndarray], prior: np.ndarray, seed: int = 7) -> Model:
-    """States from a mixture of unigrams over a sample of texts."""
-    rng = np.random.default_rng(seed)
-    emit = np.outer(prior, np.ones(STATES)) * rng.uniform(0.5, 1.5, (len(prior), STATES))
-    counts = [np.unique(r[:SEED_WORDS], return_counts=True) for r in rows if len(r)]
-    share = np.full(STATES, 1 / STATES)
-    emit /= emit.sum(0)
-    for heat in np.linspace(0.02, 1, 25):
-        new, size = np.zeros_like(emit), np.zeros(STATES)
-        table = np.log(emit)
-        for v, c in counts:
-            p = heat * (c @ table[v]) + np.log(share)
-            p = np.exp(p - p.max())
-            p /= p.sum()
-            new[v] += np.outer(c, p)
-            size += p
-        emit = new + 50.0 * prior[:, None]
-        emit /= emit.sum(0)
-        share = (size + 1) / (size + 1).sum()
+def mixture_counts(emit: np.ndarray, share: np.ndarray, heat: float, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (symbol, state) and of texts per state, each text in a mixture of states by its words whatever their order."""
+    emit_n, share_n = np.zeros(emit.shape), np.zeros(len(share))
+    first = np.cumsum(lengths) - lengths
+    table = np.log(emit).astype(np.float32)
+    for rows in groups(lengths, GROUP):
+        size = lengths[rows]
+        s = symbols[np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        p = heat * np.add.reduceat(table[s], np.cumsum(size) - size, axis=0).astype(np.float64) + np.log(share)
+        p = np.exp(p - p.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        share_n += p.sum(0)
+        for state in range(len(share)):
+            emit_n[:, state] += np.bincount(s, np.repeat(p[:, state], size), len(emit))
+    return emit_n, share_n
+
+
+def _added_up(texts: DataFrame, rows: int, counts: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all texts of tables (rows, STATES) that ``counts`` makes of symbols and lengths; the driver gets one table."""
+    names = [f"s{k}" for k in range(STATES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((rows, STATES))
+        for batch in batches:
+            s, lengths = sequences(batch.column(0))
+            if len(lengths):
+                table += counts(s, lengths)
+        some = np.flatnonzero(table.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, k]) for k in range(STATES))], ["row", *names])
+
+    got = texts.select("symbols").mapInArrow(lean(run), "row int, " + ", ".join(f"{x} double" for x in names)).groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    table = np.zeros((rows, STATES))
+    if got.num_rows:
+        table[got["row"].to_numpy()] = np.column_stack([got[x].to_numpy() for x in names])
+    return table
+
+
+def first_guess(texts: DataFrame, prior: np.ndarray, seed: int = 7) -> Model:
+    """States from a mixture of unigrams, fitted in passes over all training texts from a random start."""
+    spark, size = texts.sparkSession, len(prior)
+    emit = prior[:, None] * np.random.default_rng(seed).uniform(0.5, 1.5, (size, STATES))
+    emit, share = emit / emit.sum(0), np.full(STATES, 1 / STATES)
+    for heat in HEATS:
+        shared = spark.sparkContext.broadcast((emit, share))
+        table = _added_up(texts, size + 1, lambda s, n, shared=shared, heat=heat: np.vstack(mixture_counts(*shared.value, heat, s, n)))
+        shared.unpersist()
+        emit = table[:size] + 50.0 * prior[:, None]
+        emit, share = emit / emit.sum(0), (table[size] + 1) / (table[size] + 1).sum()
     move = np.full((STATES, STATES), 0.1 / max(STATES - 1, 1))
     np.fill_diagonal(move, 0.9)
     return Model(share, move, emit)
 
 
 def train(encoded: DataFrame, lookup: Lookup, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts of an encoded table."""
+    """Baum-Welch over all training texts of an encoded table, until a round gains less than SETTLED a token."""
     texts = encoded.where(~F.col("held_out"))
     mass = np.zeros(lookup.size)
     mass[lookup.symbols[lookup.symbols < KEPT]] = lookup.counts[lookup.symbols < KEPT]
     mass[KEPT : KEPT + CLASSES], mass[-1] = lookup.class_total, lookup.end_count
     prior = (mass + _SMOOTH) / (mass + _SMOOTH).sum()
-    # a sample bounded in texts and in words of each, for the first guess only
-    seeds = texts.orderBy(F.xxhash64("doc_id"), "key").limit(SEED_TEXTS).select(F.substring("symbols", 1, 2 * SEED_WORDS).alias("symbols")).collect()
-    model = first_guess([np.frombuffer(bytes(r["symbols"]), "<u2").astype(np.int64) for r in seeds], prior)
-    names = [f"s{k}" for k in range(STATES)]
-    size = lookup.size
+    model, size, before = first_guess(texts, prior), lookup.size, -np.inf
     for _ in range(rounds):
         shared = encoded.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sums = None
-            for batch in batches:
-                s, lengths = sequences(batch.column(0))
-                if len(lengths):
-                    part = expected_counts(shared.value, s, lengths)
-                    sums = part if sums is None else tuple(a + b for a, b in zip(sums, part, strict=True))
-            if sums is not None:
-                table = np.vstack([sums[0], sums[1], sums[2][None, :]])
-                some = np.flatnonzero(table.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, k]) for k in range(STATES))], ["symbol", *names])
-
-        summed = texts.select("symbols").mapInArrow(lean(run), "symbol int, " + ", ".join(f"{x} double" for x in names)).groupBy("symbol").agg(*(F.sum(x).alias(x) for x in names))
-        # KEPT + CLASSES + STATES + 2 rows at most
-        table = np.zeros((size + STATES + 1, STATES))
-        got = summed.toArrow()
-        if got.num_rows:
-            table[got["symbol"].to_numpy()] = np.column_stack([got[x].to_numpy() for x in names])
-        model = estimate(table[:size], table[size : size + STATES], table[-1], prior)
+        def counts(s: np.ndarray, lengths: np.ndarray, shared=shared) -> np.ndarray:
+            emit_n, move_n, start_n, likely = expected_counts(shared.value, s, lengths)
+            return np.vstack([emit_n, move_n, start_n, np.full(STATES, likely)])
+
+        table = _added_up(texts, size + STATES + 2, counts)
         shared.unpersist()
+        model = estimate(table[:size], table[size : size + STATES], table[size + STATES], prior)
+        likely = table[-1, 0] / max(lookup.total, 1)
+        if likely - before < SETTLED:
+            break
+        before = likely
     return model
 
 
