@@ -8,7 +8,8 @@ its nearest ones pruned robustly, and takes the union of the leaves' adjacency l
 greedy search from the leaves' medoids leads to a vector's surroundings, and from there the
 search widens over all neighbours within range, each verified in double precision. Each
 such shard audits the search on vectors that have links, and is compared in blocks where it
-falls short. Tasks give back one count per vector and a spanning forest of the links, never
+falls short, or where links are so many that comparing costs less than following them. A
+shard too large for a task is compared block by block in many. Tasks give back one count per vector and a spanning forest of the links, never
 the pairs.
 """
 
@@ -27,12 +28,15 @@ from tracelore.llm.components import connected, forest
 from tracelore.llm.textkit import lean, shuffle_width, stored
 
 LINK = 0.98
-#: Vectors per centre aimed at; most centres in all (bounds the broadcast).
-PER_CENTRE, MOST_CENTRES = 2000, 4096
+#: Vectors per centre aimed at; most centres in all (bounds the broadcast); vectors of a shard that one task takes.
+PER_CENTRE, MOST_CENTRES, WHOLE = 2000, 8192, 16_384
 #: Vectors of a leaf; neighbours tried and kept; slack of the pruning; beam and most steps of the greedy search.
 LEAF, TRIED, KEPT, SLACK, BEAM, STEPS = 1024, 48, 20, 1.2, 16, 40
 #: Pairs of a shard that is compared in blocks, and of one block; linked vectors that a larger shard is audited on; share of them that must have all their links.
 DIRECT, BLOCK, AUDITED, RECALL = 1 << 24, 1 << 22, 200, 0.97
+#: Pairs of a query and a vector that the range search marks at once; neighbours that it looks up at once; pairs that a
+#: comparison in blocks makes in the time in which the range search follows one link.
+MARKED, FOLLOWED, WORTH = 1 << 24, 1 << 20, 400
 
 
 def leaves(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
@@ -146,69 +150,83 @@ def in_range(x: np.ndarray, queries: np.ndarray, lists: np.ndarray, start: np.nd
     coarse = x.astype(np.float32)
     total = np.zeros(len(queries), np.int64)
     edges: list[np.ndarray] = []
-    for a in range(0, len(queries), 512):
-        part = queries[a : a + 512]
+    step = max(1, min(512, MARKED // len(x)))
+    hits_at_once = max(1, FOLLOWED // max(1, len(lists) // len(x)))
+    for a in range(0, len(queries), step):
+        part = queries[a : a + step]
         beam = approach(coarse, part, lists, start, medoids)
         # the query's own row is a way in as well
         q = np.concatenate([np.repeat(np.arange(len(part)), BEAM)[beam.ravel() >= 0], np.arange(len(part))])
         r = np.concatenate([beam.ravel()[beam.ravel() >= 0], part])
         seen = np.zeros(len(part) * len(x), bool)
-        keep = np.unique(q * len(x) + r)
-        while len(keep):
-            keep = keep[~seen[keep]]
-            seen[keep] = True
-            q, r = keep // len(x), keep % len(x)
-            hit = np.concatenate([np.einsum("nd,nd->n", x[part[q[b : b + 100_000]]], x[r[b : b + 100_000]]) for b in range(0, len(q), 100_000)] or [np.zeros(0)]) >= LINK
+        new = np.unique(q * len(x) + r)
+        seen[new] = True
+        while len(new):
+            q, r = new // len(x), new % len(x)
+            hit = np.concatenate([np.einsum("nd,nd->n", x[part[q[b : b + 100_000]]], x[r[b : b + 100_000]]) for b in range(0, len(q), 100_000)]) >= LINK
             q, r = q[hit], r[hit]
             other = r != part[q]
-            total[a : a + 512] += np.bincount(q[other], weight[r[other]], len(part)).astype(np.int64)
+            total[a : a + step] += np.bincount(q[other], weight[r[other]], len(part)).astype(np.int64)
             if other.any():
                 edges.append(np.stack(forest(part[q[other]], r[other])))
-            where, new = _neighbours(r, lists, start)
-            keep = np.unique(q[where] * len(x) + new)
+            fresh = [np.zeros(0, np.int64)]
+            for b in range(0, len(q), hits_at_once):
+                where, near = _neighbours(r[b : b + hits_at_once], lists, start)
+                near += q[b : b + hits_at_once][where] * len(x)
+                near = np.unique(near[~seen[near]])
+                seen[near] = True
+                fresh.append(near)
+            new = np.concatenate(fresh)
     u, v = forest(*np.concatenate(edges, 1)) if edges else (np.zeros(0, np.int64),) * 2
     return total, u, v
 
 
-def compared(x: np.ndarray, queries: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What ``in_range`` gives, by a comparison of the queries with all rows."""
+def compared(x: np.ndarray, queries: np.ndarray, weight: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """What ``in_range`` gives, and the number of links, by a comparison of the queries with all rows, or with those given."""
     total = np.zeros(len(queries), np.int64)
     edges: list[np.ndarray] = []
-    step = max(1, BLOCK // max(len(x), 1))
+    rows = np.arange(len(x)) if rows is None else rows
+    y, pairs = x[rows].T, 0
+    step = max(1, BLOCK // max(len(rows), 1))
     for a in range(0, len(queries), step):
         part = queries[a : a + step]
-        q, r = np.nonzero(x[part] @ x.T >= LINK)
+        q, r = np.nonzero(x[part] @ y >= LINK)
+        r = rows[r]
         other = r != part[q]
         q, r = q[other], r[other]
         total[a : a + step] = np.bincount(q, weight[r], len(part)).astype(np.int64)
+        pairs += len(q)
         if len(q):
             edges.append(np.stack(forest(part[q], r)))
     u, v = forest(*np.concatenate(edges, 1)) if edges else (np.zeros(0, np.int64),) * 2
-    return total, u, v
+    return total, u, v, pairs
 
 
 def linked(x: np.ndarray, queries: np.ndarray, weight: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What ``in_range`` gives, by the graph where it finds all links of enough audited queries, else by comparison.
 
     The audit compares queries until AUDITED have links, each counted once whatever the
-    weight of its links; where so few have any, all are compared by then.
+    weight of its links; where so few have any, all are compared by then. Queries with so
+    many links that following them costs more than a comparison in blocks are compared too.
     """
     if len(queries) * len(x) <= DIRECT:
-        return compared(x, queries, weight)
+        return compared(x, queries, weight)[:3]
     order = np.random.default_rng(seed).permutation(len(queries))
-    true, u, v, done = np.zeros(len(queries), np.int64), [], [], 0
-    step = max(1, BLOCK // len(x))
+    true, u, v, done, pairs = np.zeros(len(queries), np.int64), [], [], 0, 0
+    step = max(1, min(AUDITED, BLOCK // len(x)))
     while done < len(queries) and np.count_nonzero(true) < AUDITED:
         at = order[done : done + step]
-        true[at], *ties = compared(x, queries[at], weight)
-        u.append(ties[0])
-        v.append(ties[1])
-        done += len(at)
+        true[at], s, t, n = compared(x, queries[at], weight)
+        u.append(s)
+        v.append(t)
+        done, pairs = done + len(at), pairs + n
     if done < len(queries):
+        if pairs * WORTH >= done * len(x):
+            return compared(x, queries, weight)[:3]
         total, s, t = in_range(x, queries, *graph(x.astype(np.float32)), weight)
         tried = order[:done][true[order[:done]] > 0]
         if (total[tried] == true[tried]).mean() < RECALL:
-            return compared(x, queries, weight)
+            return compared(x, queries, weight)[:3]
         total[order[:done]] = true[order[:done]]
         true = total
         u.append(s)
@@ -216,6 +234,17 @@ def linked(x: np.ndarray, queries: np.ndarray, weight: np.ndarray, seed: int = 1
     return true, *forest(np.concatenate(u), np.concatenate(v))
 
 
+def across(x: np.ndarray, queries: np.ndarray, weight: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``in_range`` gives for links between two blocks of a shard: each query against the rows of the other block."""
+    total, u, v = np.zeros(len(queries), np.int64), [], []
+    for own in np.unique(block):
+        mine = block[queries] == own
+        total[mine], s, t, _ = compared(x, queries[mine], weight, np.flatnonzero(block != own))
+        u.append(s)
+        v.append(t)
+    return total, *forest(np.concatenate(u), np.concatenate(v))
+
+
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row numbers that can link, their unit vectors, their lengths): no nulls, all finite, not zero. Vectors may differ in length."""
     ok, vectors, sizes = [], [], []
@@ -253,7 +282,10 @@ def _centres(classes: DataFrame, sizes: dict[tuple, int]) -> dict[tuple, tuple[i
     """By (label, dimension): the number of its first shard and its centres; MOST_CENTRES in all, as one sample."""
     total = max(1, sum(sizes.values()))
     share = max(PER_CENTRE, -(-total // MOST_CENTRES))
-    rows = classes.orderBy(F.xxhash64("key"), "key").limit(min(MOST_CENTRES, max(64, 4 * total // share))).select("label", "unit").collect()
+    wanted = min(MOST_CENTRES, max(64, 4 * total // share))
+    # a share of the hash's range with about twice as many: no task sorts more
+    few = classes.where(F.xxhash64("key") <= min((1 << 63) - 1, int(2 * wanted / total * (1 << 64)) - (1 << 63)))
+    rows = few.orderBy(F.xxhash64("key"), "key").limit(wanted).select("label", "unit").collect()
     by: dict[tuple, list] = {}
     for r in rows:
         by.setdefault((r["label"], len(r["unit"])), []).append(r["unit"])
@@ -270,8 +302,9 @@ def _centres(classes: DataFrame, sizes: dict[tuple, int]) -> dict[tuple, tuple[i
 def reached(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, centre, whether it is the nearest) for the centres that may be nearest to a vector in range of the row: none is beyond the plane between the row's nearest centre and them by more than the range."""
     found = []
-    for a in range(0, len(x), 1024):
-        dots = x[a : a + 1024] @ centres.T
+    step = max(1, BLOCK // 4 // len(centres))
+    for a in range(0, len(x), step):
+        dots = x[a : a + step] @ centres.T
         near = np.argmax(dots, axis=1)
         apart = np.sqrt(np.maximum(2 - 2 * (centres[near] @ centres.T), 0))
         gap = dots[np.arange(len(dots)), near][:, None] - dots
@@ -280,8 +313,15 @@ def reached(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
+DEALT = "shard int, key long, label string, unit array<double>, weight long, home boolean"
+
+
 def search(classes: DataFrame) -> DataFrame:
-    """(key, n, root): links of each class found in its first shard, and rows (key, null, root) that tie linked classes."""
+    """(key, n, root): links of each class, in parts to be added up, and rows (key, null, root) that tie linked classes.
+
+    A shard of over WHOLE vectors is cut into blocks by a hash, and every two of its blocks
+    are compared in a task of their own.
+    """
     spark = classes.sparkSession
     grouped = classes.groupBy("label", F.size("unit").alias("d")).agg(F.count("*").alias("n"))
     # a bounded number of the largest labels get centres; the driver never sees more
@@ -290,46 +330,67 @@ def search(classes: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(centres)
     width = shuffle_width(spark)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batch: pa.RecordBatch) -> tuple[list, list, list]:
+        """(row, shard, whether it is the first) for all shards that rows (key, label, unit, ..) go to."""
         known = shared.value
+        rows, shard, home = [], [], []
+        labels, values = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        groups: dict[tuple, list[int]] = {}
+        for k, (label, u) in enumerate(zip(labels, values, strict=True)):
+            groups.setdefault((label, len(u)), []).append(k)
+        for name, at in groups.items():
+            if name not in known:
+                rows += at
+                shard += [-1] * len(at)
+                home += [True] * len(at)
+                continue
+            first, c = known[name]
+            row, centre, nearest = reached(np.array([values[k] for k in at]), c)
+            rows += np.array(at)[row].tolist()
+            shard += (first + centre).tolist()
+            home += nearest.tolist()
+        return rows, shard, home
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, shard, home = places(batch)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(batch.column(i).take(take) for i in range(4)), pa.array(home, pa.bool_())], [f.split()[0] for f in DEALT.split(", ")])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, units = batch.column(1).to_pylist(), batch.column(2)
-            rows, shard, home = [], [], []
-            values = units.to_pylist()
-            groups: dict[tuple, list[int]] = {}
-            for k, (label, u) in enumerate(zip(labels, values, strict=True)):
-                groups.setdefault((label, len(u)), []).append(k)
-            for name, at in groups.items():
-                if name not in known:
-                    rows += at
-                    shard += [-1] * len(at)
-                    home += [True] * len(at)
-                    continue
-                first, c = known[name]
-                row, centre, nearest = reached(np.array([values[k] for k in at]), c)
-                rows += np.array(at)[row].tolist()
-                shard += (first + centre).tolist()
-                home += nearest.tolist()
+            rows, shard, _ = places(batch)
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(batch.column(i).take(take) for i in range(4)), pa.array(home, pa.bool_())], ["shard", "key", "label", "unit", "weight", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column(1).take(take), pc.list_value_length(batch.column(2)).take(take)], ["shard", "label", "d"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in _runs(batches):
-            del name
+        for _, rows in _runs(batches):
             x = np.array(rows["unit"].to_pylist())
-            keys, weight, home = rows["key"].to_numpy(), rows["weight"].to_numpy(), rows["home"].to_numpy(zero_copy_only=False)
+            keys, weight, home, block = rows["key"].to_numpy(), rows["weight"].to_numpy(), rows["home"].to_numpy(zero_copy_only=False), rows["block"].to_numpy()
             queries = np.flatnonzero(home)
-            total, u, v = linked(x, queries, weight)
+            total, u, v = across(x, queries, weight, block) if rows["i"][0] != rows["j"][0] else linked(x, queries, weight)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([keys[queries], keys[u]])), pa.array(np.concatenate([total, np.zeros(len(u), np.int64)]), mask=np.append(np.zeros(len(queries), bool), np.ones(len(u), bool))), pa.array(np.concatenate([keys[queries], keys[v]]))], ["key", "n", "root"]
             )
 
-    dealt = classes.select("key", "label", "unit", "weight").mapInArrow(lean(deal), "shard int, key long, label string, unit array<double>, weight long, home boolean")
-    return dealt.repartition(max(width, 1), "shard", "label").sortWithinPartitions("shard", "label", F.size("unit")).mapInArrow(lean(find), "key long, n long, root long")
+    members = classes.select("key", "label", "unit", "weight")
+    dealt = members.mapInArrow(lean(deal), DEALT).withColumn("d", F.size("unit"))
+    zero = F.lit(0).cast("int")
+    if max(sizes.values(), default=0) > WHOLE:
+        large = members.mapInArrow(lean(count), "shard int, label string, d int").groupBy("shard", "label", "d").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE)
+        # one row for every WHOLE rows that are dealt, at most
+        large = F.broadcast(large.select("shard", "label", "d", F.ceil(F.col("n") * 2 / WHOLE).cast("int").alias("blocks")))
+        dealt = dealt.join(large, ["shard", "label", "d"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), zero))
+        with_all = F.transform(F.sequence(zero, F.coalesce("blocks", F.lit(1)) - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+        dealt = dealt.withColumn("at", F.explode(with_all)).select("shard", "key", "label", "unit", "weight", "home", "block", "at.i", "at.j")
+    else:
+        dealt = dealt.select("shard", "key", "label", "unit", "weight", "home", zero.alias("block"), zero.alias("i"), zero.alias("j"))
+    by = ["shard", "label", "i", "j"]
+    return dealt.repartition(width, *by).sortWithinPartitions("shard", "label", F.size("unit"), "i", "j").mapInArrow(lean(find), "key long, n long, root long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Consecutive rows of one shard, label and dimension."""
+    """Consecutive rows of one shard, label, dimension and two blocks."""
     held: list[pa.RecordBatch] = []
     name = None
     for batch in batches:
@@ -337,7 +398,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]
             continue
         label, shard = batch.column(2).to_pylist(), batch.column(0).to_pylist()
         d = pc.list_value_length(batch.column(3)).to_pylist()
-        ids = list(zip(shard, label, d, strict=True))
+        ids = list(zip(shard, label, d, batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True))
         cuts = [0, *(k for k in range(1, len(ids)) if ids[k] != ids[k - 1]), len(ids)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if ids[a] != name and held:
@@ -363,7 +424,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     classes = stored(named.groupBy("label", "h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "vector-classes")
     found = stored(search(classes), "links")
     ties = connected(found.where("n IS NULL").select("key", "root"))
-    classes = classes.join(found.where("n IS NOT NULL").select("key", "n"), "key", "left").join(ties.select(F.col("u").alias("key"), F.col("v").alias("top")), "key", "left")
+    classes = classes.join(found.where("n IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")), "key", "left").join(ties.select(F.col("u").alias("key"), F.col("v").alias("top")), "key", "left")
     classes = classes.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("top", "key").alias("top"))
     member = named.select("key", "vec_id", "label", "h1", "h2").join(classes, ["label", "h1", "h2"])
     least = member.groupBy("top").agg(F.min("vec_id").alias("component_id"))
