@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF
-from tracelore.llm import components, hmm_lm, line_rules, mixing, ngram_join, packing, quality_crf, queries, suffix_array, suffix_dedup, textkit, token_counts, toxicity, vector_graph
+from tracelore.llm import components, hmm_lm, labelled, line_rules, mixing, ngram_join, packing, quality_crf, queries, suffix_array, suffix_dedup, textkit, token_counts, toxicity, vector_graph
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
@@ -110,6 +110,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert pairs[pairs[:, 0] == 1, 1].mean() > 0.9 and pairs[pairs[:, 1] == 1, 0].mean() > 0.6
 
 
+def test_sample_of_labelled_texts(spark):
+    """Long texts take no one's place; repeated ids and conflicting labels count once; reruns agree."""
+    rows = [(k, "long " * 50 if k % 4 else f"text {k}", k % 2) for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(4, "text 4 again"), (8, "a"), (8, "long " * 50), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(4, 1), (4, 1), (None, 1), (12, None)], "doc_id long, y int")
+    seen = lambda: labelled.fit(docs, labels, "y", F.lit(True), lambda got, sizes=None: (sorted(got), sizes), 30, 100)
+    got, sizes = seen()
+    assert sum(y == 0 for y, _ in got) == 30 and sizes == {0: 199, 1: 201}
+    assert all(t.startswith("text") or t == "a" for _, t in got) and len({t for _, t in got}) == len(got)
+    assert seen() == (got, sizes)
+    assert labelled.fit(docs, labels.limit(0), "y", F.lit(True), lambda got, sizes=None: len(got), 30, 100) == 0
+
+
 def brute_kernel(a: bytes, b: bytes, order: int, decay: float) -> float:
     total = 0.0
     spans = lambda s: [(bytes(s[i] for i in c), c[-1] - c[0] + 1) for c in itertools.combinations(range(len(s)), order)]
@@ -288,9 +301,57 @@ def test_mix_meets_targets(spark, docs):
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, rows), key=str)
 
 
+def test_mix_against_sql(spark):
+    """Many sources over few ranges, ids that a plain modulus would put into one slot, null sources and ids."""
+    import duckdb
+
+    rng = np.random.default_rng(15)
+    rows = [(int(64 * k), " ".join(["w"] * int(rng.integers(0, 9))), None if k % 50 == 0 else f"host{int(rng.zipf(1.3)) % 400}") for k in range(3000)] + [(None, "a b", "host1"), (-5, None, "é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents = docs.toArrow()  # noqa: F841
+    want = duckdb.sql(mixing.MIX_SQL).fetchall()
+    got = [(r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in mixing.mix_report(docs).collect()]
+    clean = lambda rows: sorted([tuple(-1 if x is None or x != x else round(float(x), 6) for x in r) for r in rows])
+    assert clean(got) == clean(want)
+
+
+def test_take_tells_equal_rows_apart(spark):
+    rows = [(1, "a b c", "s", k) for k in range(5)] + [(1, "d e f", "s", 9), (2, "g h i", "s", 9), (None, "a b c", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    copies = Counter((r["doc_id"], r["source"]) for r in mixing.mix(docs).collect() for _ in range(r["copies"]))
+    got = mixing.take(docs).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == copies and max(Counter(got).values()) <= mixing.CAP
+    assert sorted(got, key=str) == sorted(mixing.take(docs).collect(), key=str)
+
+
 # 7
 
 
+def test_most_frequent_words_are_looked_up(spark, monkeypatch):
+    counts = spark.createDataFrame([(k, k % 3, 1 + 1000 // (k + 1)) for k in range(500)] + [(hmm_lm.END, -1, 7)], "h long, k int, c long")
+    for room in (500, 100, 3, 0):
+        monkeypatch.setattr(hmm_lm, "LOCAL", room)
+        found = hmm_lm.lookup_of(counts)
+        assert len(found.hashes) <= room and (room < 500 or len(found.hashes) == 500)
+        assert sorted(found.hashes.tolist()) == list(range(len(found.hashes)))
+        assert found.total == sum(1 + 1000 // (k + 1) for k in range(500)) + 7 and found.distinct == 501
+
+
+def test_mixture_counts_add_up():
+    rng = np.random.default_rng(16)
+    emit = rng.random((6, 3)) + 0.1
+    emit /= emit.sum(0)
+    symbols, lengths = rng.integers(0, 6, 12), np.array([5, 1, 6])
+    emit_n, share_n = hmm_lm.mixture_counts(emit, np.array([0.2, 0.3, 0.5]), 1.0, symbols, lengths)
+    want, at = np.zeros((6, 3)), 0
+    for n in lengths:
+        p = np.array([0.2, 0.3, 0.5]) * emit[symbols[at : at + n]].prod(0)
+        for x in symbols[at : at + n]:
+            want[x] += p / p.sum()
+        at += n
+    assert np.allclose(emit_n, want, atol=1e-4) and math.isclose(share_n.sum(), 3)
+
+
 def test_lm_base_score_and_recursion(spark, docs):
     got = {r["doc_id"]: r for r in hmm_lm.lm_report(docs).collect()}
     texts = {r["doc_id"]: [*words(r["text"], lower=True), None] for r in docs.collect()}
@@ -439,6 +500,39 @@ def test_vector_links_over_many_centres(spark, monkeypatch):
     assert all(got[k]["n_links"] == 1 and got[k]["component_id"] == k % 800 for k in range(1600))
 
 
+def exact_links(x):
+    hit = x @ x.T >= vector_graph.LINK
+    np.fill_diagonal(hit, False)
+    return hit
+
+
+def test_vector_links_of_a_shard_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "WHOLE", 40)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(1, 16)) + 0.12 * rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(1000 + k, v.tolist(), 1) for k, v in enumerate(x[:30])] + [(2000, x[0].tolist(), 0)]
+    got = {r["vec_id"]: r for r in vector_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    hit = exact_links(x)
+    copy = hit[:, 0] | (np.arange(400) == 0)
+    assert [got[k]["n_links"] for k in range(400)] == (hit.sum(1) + copy).tolist()
+    assert [got[1000 + k]["n_links"] for k in range(30)] == hit[:30, :30].sum(1).tolist()
+    u, v = components.forest(*np.nonzero(hit))
+    assert [got[k]["component_id"] for k in range(400)] == [dict(zip(u.tolist(), v.tolist(), strict=True)).get(k, k) for k in range(400)]
+
+
+def test_vector_links_of_a_dense_group():
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(size=(1, 32)) + 0.05 * rng.normal(size=(6000, 32)), rng.normal(size=(1000, 32))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = exact_links(x).sum(1)
+    total, u, v = vector_graph.linked(x, np.arange(7000), np.ones(7000, np.int64))
+    assert (total == want).all() and len(u) == 5999
+    some = np.arange(0, 7000, 500)
+    total, _, _ = vector_graph.in_range(x, some, *vector_graph.graph(x.astype(np.float32)), np.ones(7000, np.int64))
+    assert (total == want[some]).mean() >= 0.9
+
+
 def test_graph_that_misses_links_is_not_used(monkeypatch):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(300, 8))[rng.integers(0, 300, 900)] + 0.02 * rng.normal(size=(900, 8))
@@ -449,6 +543,7 @@ def test_graph_that_misses_links_is_not_used(monkeypatch):
     want = (hit @ weight)[queries]
     monkeypatch.setattr(vector_graph, "DIRECT", 0)
     monkeypatch.setattr(vector_graph, "BLOCK", 9000)
+    monkeypatch.setattr(vector_graph, "WORTH", 0)
     total, _, _ = vector_graph.linked(x, queries, weight)
     assert (total <= want).all() and (total == want).mean() >= vector_graph.RECALL
     blind = lambda x, queries, *_: (np.zeros(len(queries), np.int64), *(np.zeros(0, np.int64),) * 2)
@@ -473,6 +568,13 @@ def test_token_counts_against_the_tokenizer(spark, odd):
     assert {r["n_tokens"] for r in token_counts.token_counts(odd).where("doc_id IN (0, 1)").collect()} == {0}
 
 
+def test_counters_of_vocabularies_that_differ_in_one_piece():
+    a = [(chr(0x4E00 + k), -1.0) for k in range(200)]
+    b = [*a[:100], ("xy", -1.0), *a[101:]]
+    assert token_counts.counter_of(a) is token_counts.counter_of(list(a))
+    assert token_counts.counter_of(a) is not token_counts.counter_of(b)
+
+
 # queries
 
 
