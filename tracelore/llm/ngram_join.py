@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelore.llm.components import connected, forest
-from tracelore.llm.textkit import LOWER, chunks, ids_of, lean, left_by_key, likely_in, mix, segment_sums, shuffle_width, stored, word_bounds, word_hashes
+from tracelore.llm.textkit import LOWER, chunks, ids_of, join_sizes, lean, left_by_key, likely_in, mix, segment_sums, shuffle_width, stored, word_bounds, word_hashes
 
 #: Default: words of a shingle, and the least similarity as a fraction.
 WORDS, NUM, DEN = 5, 80, 100
@@ -463,11 +463,12 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = NUM, d
     clusters = connected(likely.union(same))
     # one document per distinct set takes part; clusters of one set are done
     leaders = nodes.where("n > 0").select(F.col("b").alias("doc")).distinct()
-    placed = leaders.join(clusters.select(F.col("u").alias("doc"), F.col("v").alias("cluster")), "doc", "left").select("doc", F.coalesce("cluster", "doc").alias("cluster"))
+    placed = stored(leaders.join(clusters.select(F.col("u").alias("doc"), F.col("v").alias("cluster")), "doc", "left").select("doc", F.coalesce("cluster", "doc").alias("cluster")), "placed")
     salted = [F.min_by("doc", F.xxhash64("doc", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("size"), *salted).where("size > 1")
     pivots = F.array(*[F.col(f"p{k}") for k in range(PIVOTS)])
-    members = stored(placed.join(sizes, "cluster").select("doc", "cluster", "size", F.array_distinct(pivots).alias("pivots")), "members")
+    sizes = stored(sizes, "clusters")
+    members = stored(join_sizes(placed, sizes, "cluster", "size", placed.count()).select("doc", "cluster", "size", F.array_distinct(pivots).alias("pivots")), "members")
     # the texts of these documents alone go on; they are moved once
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
     texts = stored(likely_in(rows, "doc", members.select("doc")).join(members.select("doc"), "doc", "left_semi"), "texts")

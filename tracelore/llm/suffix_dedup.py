@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracelore.llm import textkit
 from tracelore.llm.suffix_array import longest_shared, suffix_array
-from tracelore.llm.textkit import chunks, drop_stored, ids_of, lean, left_by_key, likely_in, mix, prefix_hash, shuffle_width, span_hash, stored, word_bounds, word_hashes
+from tracelore.llm.textkit import chunks, drop_stored, ids_of, join_sizes, lean, left_by_key, likely_in, mix, prefix_hash, shuffle_width, span_hash, stored, word_bounds, word_hashes
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 400, 100
@@ -250,7 +250,7 @@ def _hot(hot: DataFrame, length: int, gram: int) -> DataFrame:
         found.append(cut.join(whole.where("n > 1").select("core", "full"), ["core", "full"]).select("key", "base", "lo", "hi"))
         # one of each kind goes on where some kind was found once: the others are there to be found again
         cores = whole.groupBy("core").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).where("kinds > 1 AND singles > 0")
-        rows = whole.join(cores, "core").select("one.*")
+        rows = join_sizes(whole, stored(cores, "cores"), "core", "kinds", whole.count()).select("one.*")
     return reduce(DataFrame.union, found).select("key", (F.col("base") + F.col("lo")).cast("int").alias("lo"), (F.col("base") + F.col("hi")).cast("int").alias("hi"))
 
 

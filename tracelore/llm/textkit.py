@@ -111,6 +111,21 @@ def left_by_key(rows: DataFrame, key: str, found: DataFrame, other: str) -> Data
     return alone.unionByName(likely.join(found.withColumnRenamed(other, "_other"), F.col(key) == F.col("_other"), "left").drop("_other"))
 
 
+#: Rows of a key that make it large, and most large keys: the bound of a broadcast of one row each.
+LARGE, MOST_LARGE = 1000, 10_000
+
+
+def join_sizes(rows: DataFrame, facts: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """``rows`` inner-joined with ``facts``, one row per key, in which ``size`` is the number of rows of the key.
+
+    The facts of large keys, of which there are MOST_LARGE at most, are broadcast, so that
+    their rows stay where they are; only those of small keys are shuffled.
+    """
+    limit = max(LARGE, n_rows // MOST_LARGE)
+    large = F.broadcast(facts.where(F.col(size) >= limit))
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(facts.where(F.col(size) < limit), key))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions that a shuffle gets in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
