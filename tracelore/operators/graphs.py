@@ -15,8 +15,8 @@ from tracelore.operators.sequences import BEHAVIORS
 
 #: Least distance of a recurrence; behaviors that revise, and what they refer to.
 MIN_GAP, REVISING, REFERRED = 3, ("X", "R", "B", "S"), ("F", "V")
-#: Sizes above which costly descriptors take their neutral value, and searches for the diameter.
-MAX_BETWEENNESS, MAX_SMALL_WORLD, DIAMETER_SOURCES, MAX_PATH = 400, 300, 30, 8
+#: Fixed value: path lengths are cut off here.
+MAX_PATH = 8
 
 
 def edges(episodes: DataFrame, *, revisions: bool = False) -> DataFrame:
@@ -146,7 +146,7 @@ def modularity(a: np.ndarray) -> float:
 def small_world(linked: np.ndarray, seed: int = 42) -> float:
     """(C / C of rewired) / (L / L of rewired) on the largest component; 1 where undefined."""
     n = len(linked)
-    if n < 4 or linked.sum() < 4 or n > MAX_SMALL_WORLD:
+    if n < 4 or linked.sum() < 4:
         return 1.0
     reach = path_lengths(linked, np.arange(n)) >= 0
     part = np.flatnonzero(reach[int(np.argmax(reach.sum(1)))])
@@ -175,14 +175,19 @@ def small_world(linked: np.ndarray, seed: int = 42) -> float:
 DESCRIPTORS = ("avg_clustering", "approx_diameter", "betweenness_centralization", "eigenvector_centralization", "modularity", "spectral_radius", "von_neumann_entropy", "small_world_sigma")
 
 
-def describe(behaviors: np.ndarray) -> dict[str, float]:
-    """Descriptors of one trace's graph that have no relational form."""
+def describe(behaviors: np.ndarray, *, most_betweenness: int | None = None, most_small_world: int | None = None, diameter_sources: int | None = None) -> dict[str, float]:
+    """Descriptors of one trace's graph that have no relational form.
+
+    All are exact unless a limit is given: graphs of more nodes than ``most_betweenness`` or
+    ``most_small_world`` then get the neutral value of that descriptor, and the diameter is
+    sought from ``diameter_sources`` nodes.
+    """
     n = len(behaviors)
     if n < 2:
         return dict.fromkeys(DESCRIPTORS, 0.0) | {"small_world_sigma": 1.0}
     a = adjacency(behaviors)
     linked = (a > 0).astype(np.float32)
-    sources = np.arange(n) if n <= DIAMETER_SOURCES else np.random.default_rng(42).choice(n, DIAMETER_SOURCES, replace=False)
+    sources = np.arange(n) if diameter_sources is None or n <= diameter_sources else np.random.default_rng(42).choice(n, diameter_sources, replace=False)
     value, vector = np.linalg.eigh(linked.astype(np.float64))
     lead = np.abs(vector[:, -1])
     degree = a.sum(1)
@@ -191,30 +196,56 @@ def describe(behaviors: np.ndarray) -> dict[str, float]:
     p = spectrum / spectrum.sum() if spectrum.sum() > 1e-12 else np.zeros(0)
     p = p[p > 1e-12]
     return {
-        "avg_clustering": local_clustering(linked.astype(np.float64)), "approx_diameter": float(path_lengths(linked, sources).max()), "betweenness_centralization": centralization(betweenness(linked.astype(np.float64))) if n <= MAX_BETWEENNESS else 0.0,
-        "eigenvector_centralization": centralization(lead), "modularity": modularity(a.copy()), "spectral_radius": float(np.abs(np.linalg.eigvalsh(a)).max()), "von_neumann_entropy": float(-(p * np.log(p)).sum() / np.log(n)) if len(p) else 0.0, "small_world_sigma": small_world(linked.astype(np.float64)),
+        "avg_clustering": local_clustering(linked.astype(np.float64)), "approx_diameter": float(path_lengths(linked, sources).max()), "betweenness_centralization": centralization(betweenness(linked.astype(np.float64))) if most_betweenness is None or n <= most_betweenness else 0.0,
+        "eigenvector_centralization": centralization(lead), "modularity": modularity(a.copy()), "spectral_radius": float(np.abs(np.linalg.eigvalsh(a)).max()), "von_neumann_entropy": float(-(p * np.log(p)).sum() / np.log(n)) if len(p) else 0.0, "small_world_sigma": small_world(linked.astype(np.float64)) if most_small_world is None or n <= most_small_world else 1.0,
     }
 
 
-def descriptors(episodes: DataFrame) -> DataFrame:
-    """One row of DESCRIPTORS per trace."""
+def descriptors(episodes: DataFrame, **limits: int) -> DataFrame:
+    """One row of DESCRIPTORS per trace; ``limits`` as of ``describe``."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("position")
-        return pd.DataFrame([{"item_id": part["item_id"].iloc[0], **describe(part["behavior"].to_numpy())}])
+        return pd.DataFrame([{"item_id": part["item_id"].iloc[0], **describe(part["behavior"].to_numpy(), **limits)}])
 
     return episodes.select("item_id", "position", "behavior").groupBy("item_id").applyInPandas(run, "item_id long, " + ", ".join(f"{d} double" for d in DESCRIPTORS))
 
 
+def path_types(behaviors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, edge type) of each two episodes: path lengths over the undirected graph of all three kinds of edges, and the greatest kind on the path.
+
+    Of paths of one length the one that the middle nodes, tried in order, gave first counts,
+    and of edges between the same two nodes the kind that comes first.
+    """
+    n = len(behaviors)
+    gap = np.abs(np.arange(n)[:, None] - np.arange(n)[None, :])
+    kind = np.zeros((n, n), np.int64)
+    steps = np.where(gap == 1, 1, n + MAX_PATH)
+    again = (behaviors[:, None] == behaviors[None, :]) & (gap >= MIN_GAP)
+    steps[again], kind[again] = 1, 1
+    target = -1
+    for k in range(n):
+        if behaviors[k] in REVISING and target >= 0 and steps[k, target] > 1:
+            steps[k, target] = steps[target, k] = 1
+            kind[k, target] = kind[target, k] = 2
+        if behaviors[k] in REFERRED:
+            target = k
+    np.fill_diagonal(steps, 0)
+    for k in range(n):
+        through = steps[:, k, None] + steps[None, k, :]
+        nearer = through < steps
+        steps = np.where(nearer, through, steps)
+        kind = np.where(nearer, np.maximum(kind[:, k, None], kind[None, k, :]), kind)
+    return np.minimum(steps, MAX_PATH), kind
+
+
 def shortest_paths(episodes: DataFrame) -> DataFrame:
-    """(item_id, src, dst, steps): path lengths over the undirected graph, at most MAX_PATH; pairs without a way get that too."""
+    """(item_id, src, dst, steps, edge_type) for src < dst: ``path_types`` of each trace, lengths at most MAX_PATH; pairs without a way get that too."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("position")
-        n = len(part)
-        d = path_lengths((adjacency(part["behavior"].to_numpy()) > 0).astype(np.float32), np.arange(n))
-        d = np.where(d < 0, MAX_PATH, np.minimum(d, MAX_PATH))
-        i, j = np.triu_indices(n, 1)
-        return pd.DataFrame({"item_id": part["item_id"].iloc[0], "src": i, "dst": j, "steps": d[i, j]})
+        steps, kind = path_types(part["behavior"].to_numpy())
+        i, j = np.triu_indices(len(part), 1)
+        return pd.DataFrame({"item_id": part["item_id"].iloc[0], "src": i, "dst": j, "steps": steps[i, j], "edge_type": kind[i, j]})
 
-    return episodes.select("item_id", "position", "behavior").groupBy("item_id").applyInPandas(run, "item_id long, src long, dst long, steps long")
+    return episodes.select("item_id", "position", "behavior").groupBy("item_id").applyInPandas(run, "item_id long, src long, dst long, steps long, edge_type long")
