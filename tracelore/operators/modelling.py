@@ -117,6 +117,19 @@ def transfer(rows: DataFrame, columns: list[str], groups: list[str], kind: str =
     return E.auroc_ci(reduce(DataFrame.unionByName, parts), ["source", "grp"]).select("source", F.col("grp").alias("target"), "auroc", "ci_low", "ci_high", "n_pos", "n_neg")
 
 
+#: Columns of ``question_vectors``.
+QUESTION_COLUMNS = [f"q_{k}" for k in range(64)]
+
+
+def question_vectors(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with QUESTION_COLUMNS: the text's lower-cased words hashed to counts, of unit length; zeros for texts without words."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\W+"), lambda w: w != "")
+    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(len(QUESTION_COLUMNS))))
+    counts = rows.withColumn("_slots", slots).withColumns({c: F.size(F.filter("_slots", lambda s, k=k: s == k)).cast("double") for k, c in enumerate(QUESTION_COLUMNS)})
+    norm = F.sqrt(sum((F.col(c) * F.col(c) for c in QUESTION_COLUMNS), F.lit(0.0)))
+    return counts.withColumn("_norm", F.greatest(norm, F.lit(1e-12))).withColumns({c: F.col(c) / F.col("_norm") for c in QUESTION_COLUMNS}).drop("_slots", "_norm")
+
+
 def search(rows: DataFrame, columns: list[str], trials: int = 8, seed: int = 42) -> list[dict]:
     """Random search over model, strength, scaler and size; the objective is the row-weighted mean of the groups' AUROC. Best first."""
     import random

@@ -13,6 +13,8 @@ from tracelore.operators.sequences import BEHAVIORS, ngrams
 
 #: Lengths of candidates, and most candidates of a length.
 LENGTHS, POOL = range(3, 9), 2000
+#: Traces that a task measures at once.
+TRACES = 64
 
 
 def candidates(sequences: DataFrame, lengths: range = LENGTHS, pool: int = POOL) -> DataFrame:
@@ -29,36 +31,61 @@ def encode(seq: str) -> np.ndarray:
     return np.array([max(BEHAVIORS.index(c), 0) if c in BEHAVIORS else 0 for c in seq], np.int64)
 
 
-def distances(sequences: DataFrame, pool: DataFrame) -> DataFrame:
-    """(item_id, y, k, gram, dist): least share of mismatches over all windows; 1 for shorter traces.
+def _measured(sequences: DataFrame, pool: DataFrame, make, schema: str) -> DataFrame:
+    """What ``make`` makes of batches of traces: a table, the mismatches (trace, candidate), the candidates' lengths and the candidates.
 
     The pool is bounded by POOL grams of each length and is broadcast; a trace's windows
     meet all candidates of a length in one matrix product.
     """
-    spark = sequences.sparkSession
     grams = [(r["k"], r["gram"]) for r in pool.select("k", "gram").orderBy("k", "gram").collect()]
-    shared = spark.sparkContext.broadcast({k: [g for n, g in grams if n == k] for k in sorted({n for n, _ in grams})})
+    shared = sequences.sparkSession.sparkContext.broadcast({k: [g for n, g in grams if n == k] for k in sorted({n for n, _ in grams})})
     size = len(BEHAVIORS)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = {k: np.eye(size, dtype=np.float32)[np.array([encode(g) for g in gs])].reshape(len(gs), -1) for k, gs in shared.value.items()}
         grams = np.concatenate([np.array(gs, object) for gs in shared.value.values()]) if shared.value else np.zeros(0, object)
         lengths = np.concatenate([np.full(len(gs), k) for k, gs in shared.value.items()]) if shared.value else np.zeros(0, int)
-        for part in parts:
-            found = []
-            for seq in part["seq"]:
-                codes = np.eye(size, dtype=np.float32)[encode(seq)]
-                for k, gs in shared.value.items():
-                    if len(seq) >= k:
-                        windows = np.lib.stride_tricks.sliding_window_view(codes, k, axis=0).transpose(0, 2, 1).reshape(len(seq) - k + 1, -1)
-                        dist = 1 - (windows @ tables[k].T).max(0).round().astype(float) / k
-                    else:
-                        dist = np.ones(len(gs))
-                    found.append(dist)
-            n = len(part)
-            yield pd.DataFrame({"item_id": np.repeat(part["item_id"].to_numpy(), len(grams)), "y": np.repeat(part["y"].to_numpy(), len(grams)), "k": np.tile(lengths, n), "gram": np.tile(grams, n), "dist": np.concatenate(found) if found else np.zeros(0)})
-
-    return sequences.select("item_id", "y", "seq").mapInPandas(run, "item_id long, y long, k int, gram string, dist double")
+        for whole in parts:
+            for a in range(0, len(whole), TRACES):
+                part = whole.iloc[a : a + TRACES]
+                missed = np.empty((len(part), len(grams)), np.int64)
+                for row, seq in zip(missed, part["seq"], strict=True):
+                    codes, at = np.eye(size, dtype=np.float32)[encode(seq)], 0
+                    for k, gs in shared.value.items():
+                        if len(seq) >= k:
+                            windows = np.lib.stride_tricks.sliding_window_view(codes, k, axis=0).transpose(0, 2, 1).reshape(len(seq) - k + 1, -1)
+                            row[at : at + len(gs)] = k - (windows @ tables[k].T).max(0).round().astype(np.int64)
+                        else:
+                            row[at : at + len(gs)] = k
+                        at += len(gs)
+                yield make(part, missed, lengths, grams)
+
+    return sequences.select("item_id", "y", "seq").mapInPandas(run, schema)
+
+
+def distances(sequences: DataFrame, pool: DataFrame) -> DataFrame:
+    """(item_id, y, k, gram, dist): least share of mismatches over all windows; 1 for shorter traces."""
+
+    def make(part: pd.DataFrame, missed: np.ndarray, lengths: np.ndarray, grams: np.ndarray) -> pd.DataFrame:
+        n, m = missed.shape
+        return pd.DataFrame({"item_id": np.repeat(part["item_id"].to_numpy(), m), "y": np.repeat(part["y"].to_numpy(), m), "k": np.tile(lengths, n), "gram": np.tile(grams, n), "dist": (missed / lengths).ravel()})
+
+    return _measured(sequences, pool, make, "item_id long, y long, k int, gram string, dist double")
+
+
+def distance_counts(sequences: DataFrame, pool: DataFrame) -> DataFrame:
+    """(k, gram, dist, c, s): how many traces are at each distance of a candidate, and how many of these are of class 1; counted in tasks first."""
+
+    def make(part: pd.DataFrame, missed: np.ndarray, lengths: np.ndarray, grams: np.ndarray) -> pd.DataFrame:
+        wide = int(lengths.max(initial=0)) + 1
+        cell = (missed + np.arange(len(grams)) * wide).ravel()
+        c = np.bincount(cell, minlength=wide * len(grams))
+        s = np.bincount(cell, np.repeat(part["y"].to_numpy(), len(grams)), minlength=wide * len(grams)).astype(np.int64)
+        some = np.flatnonzero(c)
+        gram = some // wide
+        return pd.DataFrame({"k": lengths[gram], "gram": grams[gram], "dist": (some % wide) / lengths[gram], "c": c[some], "s": s[some]})
+
+    return _measured(sequences, pool, make, "k int, gram string, dist double, c long, s long").groupBy("k", "gram", "dist").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
 
 
 def binary_entropy(p):
@@ -66,9 +93,8 @@ def binary_entropy(p):
     return F.when((p <= 0) | (p >= 1), 0.0).otherwise(-(p * F.log2(p) + (1 - p) * F.log2(1 - p)))
 
 
-def information_gain(dist: DataFrame) -> DataFrame:
-    """(k, gram, gain): best gain of a split between distinct distances of a candidate, not below 0."""
-    at = dist.groupBy("k", "gram", "dist").agg(F.count("*").alias("c"), F.sum("y").alias("s"))
+def information_gain(at: DataFrame) -> DataFrame:
+    """(k, gram, gain): best gain of a split between distinct distances of a candidate, not below 0; from ``distance_counts``."""
     w = Window.partitionBy("k", "gram")
     run = w.orderBy("dist").rowsBetween(Window.unboundedPreceding, 0)
     at = at.withColumns({"n": F.sum("c").over(w), "m": F.sum("s").over(w), "nl": F.sum("c").over(run), "ml": F.sum("s").over(run)})
