@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelore.operators.relational import quantiles
+
+#: How a number is stated as a confidence, of one or of ten, and how a judge states a label and a probability.
+STATED, CONFIDENT, OF_TEN = r"confidence\s*(?:level\s*)?(?:is\s*)?[:=]?\s*(\d+(?:\.\d+)?)\s*[%/]?", r"i(?:'m|\s+am)\s+(\d+(?:\.\d+)?)\s*%?\s*confident", r"(\d+(?:\.\d+)?)\s*(?:/|out\s+of)\s*10"
+JUDGMENT, PROBABILITY = r"(?i)judgment\s*[:=]\s*(CORRECT|INCORRECT|UNCERTAIN)", r"(?i)probability\s*[:=]\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
 #: Phrases of low, high and middling confidence, in the order they are tried.
 LOW = ("not confident", "not sure", "not certain", "uncertain", "unsure", "doubtful", "unlikely", "don't know", "i'm not")
 HIGH = ("very confident", "highly confident", "completely certain", "absolutely certain", "definitely correct", "absolutely sure", "completely sure")
@@ -18,8 +23,8 @@ def length_confidence(n_tokens: Column) -> Column:
 
 def quantile_length_confidence(rows: DataFrame, n_tokens: str) -> DataFrame:
     """The older form: 1 - length over the 99th percentile, not below 0."""
-    q = rows.agg(F.percentile(n_tokens, 0.99).alias("q99"))
-    return rows.crossJoin(F.broadcast(q)).withColumn("confidence", 1 - F.least(F.col(n_tokens) / F.greatest("q99", F.lit(1.0)), F.lit(1.0))).drop("q99")
+    top = quantiles(rows, n_tokens, [0.99])[0]
+    return rows.withColumn("confidence", 1 - F.least(F.col(n_tokens) / F.lit(max(top, 1.0)), F.lit(1.0)))
 
 
 def perplexity(mean_nll: Column) -> Column:
@@ -36,9 +41,9 @@ def stated_confidence(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     number = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).cast("double")
     unit = lambda x: F.least(F.greatest(F.when(x > 1, x / 100.0).otherwise(x), F.lit(0.0)), F.lit(1.0))
-    said = number(r"confidence\s*(?:level\s*)?(?:is\s*)?[:=]?\s*(\d+(?:\.\d+)?)\s*[%/]?")
-    am = number(r"i(?:'m|\s+am)\s+(\d+(?:\.\d+)?)\s*%?\s*confident")
-    of_ten = number(r"(\d+(?:\.\d+)?)\s*(?:/|out\s+of)\s*10")
+    said = number(STATED)
+    am = number(CONFIDENT)
+    of_ten = number(OF_TEN)
     has = lambda phrases: t.rlike("|".join(phrases))
     return F.when(said.isNotNull(), unit(said)).when(am.isNotNull(), unit(am)).when(of_ten.isNotNull(), F.least(of_ten / 10.0, F.lit(1.0))).when(has(LOW), 0.3).when(has(HIGH), 0.9).when(has(MEDIUM), 0.6).otherwise(0.5)
 
@@ -59,14 +64,32 @@ def agreement(samples: DataFrame) -> DataFrame:
     return out.select("item_id", F.coalesce("self_consistency", F.lit(0.5)).alias("self_consistency"), F.coalesce("semantic_confidence", F.lit(0.5)).alias("semantic_confidence"))
 
 
+def all_scores(records: DataFrame, samples: DataFrame | None = None, structural: DataFrame | None = None) -> DataFrame:
+    """(item_id, trace_length, verbalized_confidence, perplexity, self_consistency, semantic_entropy, structural): every score of each record.
+
+    Records have item_id, trace_token_count, answer_text, reasoning_trace and mean_log_prob;
+    ``samples`` (item_id, answer) and ``structural`` (item_id, p) give the other three, which
+    are null without them or for items that they lack.
+    """
+    out = records.select("item_id", length_confidence(F.col("trace_token_count")).alias("trace_length"), record_confidence(F.col("answer_text"), F.col("reasoning_trace")).alias("verbalized_confidence"), perplexity_confidence(perplexity(-F.col("mean_log_prob"))).alias("perplexity"))
+    none = F.lit(None).cast("double")
+    if samples is None:
+        out = out.withColumns({"self_consistency": none, "semantic_entropy": none})
+    else:
+        out = out.join(agreement(samples).withColumnRenamed("semantic_confidence", "semantic_entropy"), "item_id", "left")
+    if structural is None:
+        return out.withColumn("structural", none)
+    return out.join(structural.select("item_id", F.col("p").alias("structural")), "item_id", "left")
+
+
 def judge_label(reply: Column) -> Column:
     """The label a judge's reply states, upper case; null without one."""
-    return F.nullif(F.upper(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?i)judgment\s*[:=]\s*(CORRECT|INCORRECT|UNCERTAIN)", 1)), F.lit(""))
+    return F.nullif(F.upper(F.regexp_extract(F.coalesce(reply, F.lit("")), JUDGMENT, 1)), F.lit(""))
 
 
 def judge_probability(reply: Column) -> Column:
     """The probability in [0, 1] that a judge's reply states, or that of its label; null without either."""
-    p = F.nullif(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?i)probability\s*[:=]\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)", 1), F.lit("")).cast("double")
+    p = F.nullif(F.regexp_extract(F.coalesce(reply, F.lit("")), PROBABILITY, 1), F.lit("")).cast("double")
     label = judge_label(reply)
     return F.when(p.between(0, 1), p).when(label == "CORRECT", 0.9).when(label == "INCORRECT", 0.1).when(label == "UNCERTAIN", 0.5)
 

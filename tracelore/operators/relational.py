@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Families of columns by prefix, and the subsets that studies compare.
-FAMILIES = {"hand": "hand_", "ngram": "ng", "timing": "t_", "graph": "g_", "topology": "h", "oof": "oof_"}
+#: Families of columns by their prefixes, and the subsets that studies compare.
+FAMILIES = {"hand": "hand_", "ngram": "ng", "timing": "t_", "graph": "g_", "topology": ("h0_", "h1_"), "oof": "oof_"}
 SUBSETS = {"all": tuple(FAMILIES), "oof": ("oof",), "structure": ("ngram", "timing", "graph", "topology"), "no_oof": ("hand", "ngram", "timing", "graph", "topology"), "hand": ("hand",)}
 
 
@@ -100,9 +101,54 @@ def strip_suffixes(name: Column, suffixes: list[str]) -> Column:
     return F.regexp_replace(stem, "(?:" + "|".join(suffixes) + ")$", "")
 
 
+#: Bands that a range of values is cut into, and rows whose distinct values may reach the driver.
+BANDS, FEW = 4096, 100_000
+
+
+def quantiles(rows: DataFrame, value: str, fractions: list[float]) -> list[float]:
+    """Exact quantiles, linear between order statistics; nulls are left out, NaN for no rows.
+
+    Ranges of values are cut into bands and counted, and those that hold a wanted rank cut
+    again, until few rows are left in them; no task holds the distinct values of the table.
+    """
+    some = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    whole = some.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not whole["n"]:
+        return [float("nan")] * len(fractions)
+    at = [(whole["n"] - 1) * f for f in fractions]
+    ranks = {int(k) for x in at for k in (math.floor(x), math.ceil(x))}
+    found: dict[int, float] = {}
+    # (lowest value, highest, rows before, rows)
+    spans = [(whole["lo"], whole["hi"], 0, whole["n"])]
+    while spans:
+        if sum(s[3] for s in spans) <= FEW:
+            inside = reduce(lambda a, b: a | b, [F.col("v").between(lo, hi) for lo, hi, _, _ in spans])
+            counts = sorted((r["v"], r["n"]) for r in some.where(inside).groupBy("v").agg(F.count("*").alias("n")).collect())
+            for lo, hi, before, _ in spans:
+                for v, n in counts:
+                    if lo <= v <= hi:
+                        found |= {k: v for k in ranks if before <= k < before + n}
+                        before += n
+            break
+        band = reduce(lambda rest, s: F.when(F.col("v").between(s[1][0], s[1][1]), s[0] * BANDS + F.least(F.floor((F.col("v") - s[1][0]) / (s[1][1] - s[1][0]) * BANDS), F.lit(BANDS - 1))).otherwise(rest), enumerate(spans), F.lit(None))
+        cut = some.groupBy(band.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("b IS NOT NULL").collect()
+        inner = []
+        for k, (_, _, before, _) in enumerate(spans):
+            for r in sorted((r for r in cut if r["b"] // BANDS == k), key=lambda r: r["b"]):
+                here = {x for x in ranks if before <= x < before + r["n"]}
+                if here and r["lo"] == r["hi"]:
+                    found |= dict.fromkeys(here, r["lo"])
+                elif here:
+                    inner.append((r["lo"], r["hi"], before, r["n"]))
+                before += r["n"]
+        spans = inner
+    ends = [(found[math.floor(x)], found[math.ceil(x)], x - math.floor(x)) for x in at]
+    return [lo if part == 0 else (1 - part) * lo + part * hi for lo, hi, part in ends]
+
+
 def quantile_edges(rows: DataFrame, value: str, bins: int) -> list[float]:
-    """Exact quantiles, linear between values; bins + 1 numbers reach the driver."""
-    return [float(x) for x in rows.agg(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("q")).first()["q"]]
+    """Exact quantiles, linear between values; bins + 1 numbers."""
+    return quantiles(rows, value, [k / bins for k in range(bins + 1)])
 
 
 def quantile_bins(rows: DataFrame, value: str, bins: int, *, closed: str = "right") -> DataFrame:

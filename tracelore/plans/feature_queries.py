@@ -165,15 +165,15 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cycle_sql(stop: list[str], fix: str) -> str:
     return f"""WITH s AS (SELECT item_id, p - 1 AS position, ['F','V','B','R','S','H','C'][(p - 1) % 7 + 1] AS behavior, l AS text FROM (SELECT doc_id AS item_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents)),
-w AS (SELECT item_id, position, list_filter(list_distinct(regexp_extract_all(lower(text), '\\b\\w{{3,}}\\b')), lambda x: x NOT IN ({", ".join(f"'{x}'" for x in stop)})) AS w, (behavior IN ({fix}))::INT AS own, sum((behavior IN ({fix}))::INT) OVER (PARTITION BY item_id ORDER BY position) AS c FROM s),
+w AS (SELECT item_id, position, list_filter(list_distinct(regexp_extract_all(lower(text), '[\\w\\p{{L}}\\p{{Nd}}]+')), lambda x: regexp_full_match(x, '\\w{{3,}}') AND x NOT IN ({", ".join(f"'{x}'" for x in stop)})) AS w, (behavior IN ({fix}))::INT AS own, sum((behavior IN ({fix}))::INT) OVER (PARTITION BY item_id ORDER BY position) AS c FROM s),
 v AS (SELECT * FROM w WHERE len(w) > 0),
 h AS (SELECT a.item_id, count(DISTINCT a.position) AS n FROM v a JOIN v b ON a.item_id = b.item_id AND b.position >= a.position + 3 AND b.c - b.own > a.c AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.3 GROUP BY a.item_id)
 SELECT item_id, coalesce(n, 0) AS cycle_count FROM (SELECT DISTINCT item_id FROM s) LEFT JOIN h USING (item_id)"""
 
 
-@query()
+@query(_cycle_sql(L.CYCLE_STOP_21, "'V', 'B', 'R'"))
 def lexical_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as episodes; the two languages' ideas of a word character differ outside ASCII, so there is no SQL."""
+    """Lines as episodes; words are ASCII, and no letter or digit of any script may touch them."""
     return L.lexical_cycles(_sentences(spark, sf_dir), ("V", "B", "R"), L.CYCLE_STOP_21)
 
 
@@ -191,13 +191,28 @@ def quantile_length_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.quantile_length_confidence(o, "o_totalprice").select("item_id", "confidence"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS item_id, l_returnflag AS answer FROM lineitem), l AS (SELECT item_id, max(n) / sum(n) AS sc FROM (SELECT item_id, lower(trim(answer)) AS a, count(*) AS n FROM s WHERE answer IS NOT NULL GROUP BY 1, 2) GROUP BY item_id),
-e AS (SELECT item_id, sum(n) AS n, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT item_id, trim(answer) AS a, count(*) AS n FROM s WHERE answer IS NOT NULL GROUP BY 1, 2) GROUP BY item_id)
-SELECT item_id, round(coalesce(sc, 0.5), 6) AS self_consistency, round(coalesce(CASE WHEN n <= 1 THEN 0.5 ELSE 1 - h / log2(n) END, 0.5), 6) AS semantic_confidence FROM (SELECT DISTINCT item_id FROM s) LEFT JOIN l USING (item_id) LEFT JOIN e USING (item_id)""")
+_AGREEMENT = """s AS (SELECT l_orderkey AS item_id, l_returnflag AS answer FROM lineitem), l AS (SELECT item_id, max(n) / sum(n) AS sc FROM (SELECT item_id, lower(trim(answer)) AS a, count(*) AS n FROM s WHERE answer IS NOT NULL GROUP BY 1, 2) GROUP BY item_id),
+e AS (SELECT item_id, sum(n) AS n, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT item_id, trim(answer) AS a, count(*) AS n FROM s WHERE answer IS NOT NULL GROUP BY 1, 2) GROUP BY item_id),
+ag AS (SELECT item_id, round(coalesce(sc, 0.5), 6) AS self_consistency, round(coalesce(CASE WHEN n <= 1 THEN 0.5 ELSE 1 - h / log2(n) END, 0.5), 6) AS semantic_confidence FROM (SELECT DISTINCT item_id FROM s) LEFT JOIN l USING (item_id) LEFT JOIN e USING (item_id))"""
+
+
+@query(f"WITH {_AGREEMENT} SELECT * FROM ag")
 def sample_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.agreement(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_returnflag").alias("answer"))))
 
 
+@query(f"""WITH {_AGREEMENT}, o AS (SELECT o_orderkey AS item_id, floor(o_totalprice / 50)::BIGINT AS n, o_orderkey % 101 AS k, exp(least(o_totalprice / 100000, 50)) AS ppl, (o_orderkey % 10) / 10.0::DOUBLE AS p FROM orders)
+SELECT item_id, round(CASE WHEN n <= 0 THEN 0.5 ELSE 1 / (1 + exp(0.001::DOUBLE * (n - 2000))) END, 6) AS trace_length, round(CASE WHEN k > 1 THEN k / 100.0::DOUBLE ELSE k END, 6) AS verbalized_confidence, round(1 / (1 + exp(0.2::DOUBLE * (ppl - 10))), 6) AS perplexity,
+self_consistency, semantic_confidence AS semantic_entropy, round(p, 6) AS structural FROM o LEFT JOIN ag USING (item_id)""")
+def unified_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every confidence score of records made from orders, with order lines as their samples."""
+    key = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    records = o.select(key.alias("item_id"), F.floor(F.col("o_totalprice") / 50).alias("trace_token_count"), F.concat(F.lit("Confidence: "), (key % 101).cast("string"), F.lit("%")).alias("answer_text"), F.lit("").alias("reasoning_trace"), (-F.col("o_totalprice") / 100000).alias("mean_log_prob"))
+    samples = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_returnflag").alias("answer"))
+    return rounded(C.all_scores(records, samples, o.select(key.alias("item_id"), ((key % 10) / 10.0).alias("p"))))
+
+
 @query("""WITH n AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN text[1:100] || chr(10) || chr(10) || '[... middle truncated ...]' || chr(10) || chr(10) || right(text, 60) ELSE text END AS cut FROM n""")
 def middle_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")

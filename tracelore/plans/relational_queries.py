@@ -29,10 +29,11 @@ def left_join_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.coverage(R.join_families(c.select("item_id", "c_acctbal"), [a], ["item_id"], "left"), ["c_acctbal", "n_orders", "done"])
 
 
-@query("""WITH a AS (SELECT doc_id, quality AS y FROM labels), b AS (SELECT doc_id, toxic AS y FROM labels WHERE doc_id % 3 = 0) SELECT count(*) AS n_shared, count(*) FILTER (a.y IS DISTINCT FROM b.y) AS n_disagree FROM a JOIN b ON a.doc_id = b.doc_id""")
+@query("""SELECT count(*) AS n_shared, count(*) FILTER (l.quality IS DISTINCT FROM (d.n_chars > 500)::INT) AS n_disagree FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
 def label_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = table(spark, sf_dir, "labels")
-    return R.label_disagreements(y.select("doc_id", F.col("quality").alias("y")), y.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("y")), ["doc_id"], "y")
+    """Labels of some documents against a rule that labels all of them by length."""
+    y, d = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    return R.label_disagreements(y.select("doc_id", F.col("quality").alias("y")), d.select("doc_id", (F.col("n_chars") > 500).cast("int").alias("y")), ["doc_id"], "y")
 
 
 @query("""SELECT d.doc_id, quality AS y, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
@@ -179,7 +180,10 @@ def annotation_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, (lang = 'de')::INT AS lang_de, (lang = 'en')::INT AS lang_en, (lang = 'es')::INT AS lang_es, (lang = 'fr')::INT AS lang_fr FROM documents")
 def one_hot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.one_hot(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["en", "fr", "de", "es"], "lang_").drop("lang")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    # one row per language
+    names = [r["lang"] for r in d.where("lang IS NOT NULL").select("lang").distinct().collect()]
+    return R.one_hot(d, "lang", names, "lang_").drop("lang")
 
 
 @query("""WITH p AS (SELECT event_id, (event_id % 1000) / 10000.0::DOUBLE AS p, value / 3 AS lo, value / 2 AS hi FROM events)
@@ -210,10 +214,10 @@ def single_feature_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.auroc_ci(long_, ["feature"], p="value").select("feature", "auroc"))
 
 
-@query(f"""WITH {PREDICTIONS}, l AS (SELECT * FROM pr), f AS (SELECT doc_id AS item_id, quality, toxic FROM labels) SELECT item_id, grp, y, round(p_a, 6) AS p_a, round(p_b, 6) AS p_b, toxic, (row_number() OVER (PARTITION BY grp, y ORDER BY md5(item_id || '|42'), item_id) - 1)::BIGINT % 5 AS fold FROM l JOIN f USING (item_id) WHERE grp IN ('en', 'fr', 'de', 'es')""")
+@query(f"""WITH {PREDICTIONS}, l AS (SELECT * FROM pr), f AS (SELECT doc_id AS item_id, quality, toxic FROM labels) SELECT item_id, grp, y, round(p_a, 6) AS p_a, round(p_b, 6) AS p_b, toxic, (row_number() OVER (PARTITION BY grp, y ORDER BY md5(item_id || '|42'), item_id) - 1)::BIGINT % 5 AS fold FROM l JOIN f USING (item_id)""")
 def hybrid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of two models with a feature family, canonical folds and a checked label, one row per item."""
     p = R.keep_first(predictions(spark, sf_dir), ["item_id"], ["grp"])
     y = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("y"), "toxic")
-    j = R.checked_join(p, y, ["item_id"], "y").where(F.col("grp").isin("en", "fr", "de", "es"))
+    j = R.checked_join(p, y, ["item_id"], "y")
     return rounded(E.stratified_folds(j, ["grp", "y"], "item_id").withColumn("fold", F.col("fold").cast("long")).select("item_id", "grp", "y", "p_a", "p_b", "toxic", "fold"))
