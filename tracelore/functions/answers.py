@@ -161,17 +161,42 @@ def score(answer: str, truth: str, kind: str, extraction: str | None = None) ->
 SCORE = "is_correct boolean, extracted_answer string, ground_truth_normalized string, comparison_method string"
 
 
+KINDS = ("exact_match_math", "exact_match_numeric", "multiple_choice")
+
+
 def score_answer(answer: Column, truth: Column, kind: Column, extraction: Column) -> Column:
-    """``score`` as a column of structs, in Arrow batches; null answers and truths are empty texts."""
+    """``score`` as a column of structs, in Arrow batches; null answers and truths are empty texts.
+
+    Rows of an unknown or null kind have no verdict: null, and the method "unknown_type".
+    Equal rows of a batch are scored once.
+    """
 
     @F.pandas_udf(SCORE)
     def run(a: pd.Series, t: pd.Series, k: pd.Series, e: pd.Series) -> pd.DataFrame:
-        rows = [score(w or "", x or "", y, z) for w, x, y, z in zip(a, t, k, e, strict=True)]
-        return pd.DataFrame(rows, columns=["is_correct", "extracted_answer", "ground_truth_normalized", "comparison_method"])
+        names, seen, out = [x.split()[0] for x in SCORE.split(", ")], {}, []
+        for row in zip(a, t, k, e, strict=True):
+            if row not in seen:
+                seen[row] = tuple(score(row[0] or "", row[1] or "", row[2], row[3])[n] for n in names) if row[2] in KINDS else (None, None, row[1], "unknown_type")
+            out.append(seen[row])
+        return pd.DataFrame(out, columns=names)
 
     return run(answer, truth, kind, extraction)
 
 
+def each(f: Callable, kind: str = "string"):
+    """A column function from one of the functions of texts above, in Arrow batches; null where a text is null."""
+
+    @F.pandas_udf(kind)
+    def one(a: pd.Series) -> pd.Series:
+        return a.map(lambda x: None if x is None else f(x))
+
+    @F.pandas_udf(kind)
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return lambda *columns: (one, two)[len(columns) - 1](*columns)
+
+
 def native_choice(text: Column) -> Column:
     """``choice`` in expressions."""
     t = _strip(F.coalesce(text, F.lit("")))

@@ -37,7 +37,13 @@ def parsed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.summary(P.parse(table(spark, sf_dir, "documents"), "text", ["doc_id"], "six"), ["doc_id"]))
 
 
-@query()
+_PARTS = """string_split(regexp_replace(trim(line), '([.!?])\\s+([A-Z"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"""
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, unnest(string_split_regex(coalesce(text, ''), '\n+')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\n+'), 1) AS i FROM conversations),
+p AS (SELECT conv_id, turn, i, unnest({_PARTS}) AS part, generate_subscripts({_PARTS}, 1) AS j FROM l),
+t AS (SELECT conv_id, turn, trim(part) AS text, lower(trim(part)) AS s, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, j) - 1)::INT AS position FROM p WHERE trim(part) <> '')
+SELECT conv_id, turn, position, text, {_LEGACY} AS behavior FROM t""")
 def parsed_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse_legacy(table(spark, sf_dir, "conversations"), "text", ["conv_id", "turn"])
 
@@ -65,11 +71,17 @@ def extracted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", A.native_choice(said).alias("letter"), A.native_after_marks(number).alias("number"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT = (l_partkey % 50 + 1)) AS is_correct, l_quantity::BIGINT::VARCHAR AS extracted_answer, 'numeric_equiv' AS comparison_method FROM lineitem""")
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_linenumber % 3 AS kind, l_quantity::BIGINT AS q, l_partkey % 50 + 1 AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE kind WHEN 1 THEN q % 4 = t % 4 ELSE q = t END AS is_correct, CASE kind WHEN 0 THEN q::VARCHAR WHEN 1 THEN (['A','B','C','D'])[q % 4 + 1] ELSE '\\frac{' || q || '}{4}' END AS extracted_answer,
+CASE kind WHEN 0 THEN 'numeric_equiv' WHEN 1 THEN 'mc_letter_match' ELSE 'math_equiv' END AS comparison_method FROM a""")
 def scored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric answers of lineitem rows against a made-up truth."""
+    """Answers made from lineitem rows against made-up truths: a third each numbers after a mark, choices, and fractions against decimals."""
     li = table(spark, sf_dir, "lineitem")
-    answer = F.concat(F.lit("Therefore, the answer is "), F.col("l_quantity").cast("long").cast("string"), F.lit("."))
-    truth = F.concat(F.lit("steps\n#### "), (F.col("l_partkey") % 50 + 1).cast("string"))
-    s = A.score_answer(answer, truth, F.lit("exact_match_numeric"), F.lit("gsm8k"))
+    kind, q, t = F.col("l_linenumber") % 3, F.col("l_quantity").cast("long"), F.col("l_partkey") % 50 + 1
+    letter = lambda x: F.element_at(F.array(*map(F.lit, "ABCD")), (x % 4 + 1).cast("int"))
+    answer = F.when(kind == 0, F.concat(F.lit("Therefore, the answer is "), q.cast("string"), F.lit("."))).when(kind == 1, F.concat(F.lit("I choose ("), letter(q), F.lit(")."))).otherwise(F.concat(F.lit("So $x$ is \\boxed{\\frac{"), q.cast("string"), F.lit("}{4}}.")))
+    decimal = F.concat(F.floor(t * 25 / 100).cast("string"), F.lit("."), F.lpad((t * 25 % 100).cast("string"), 2, "0"))
+    truth = F.when(kind == 0, F.concat(F.lit("steps\n#### "), t.cast("string"))).when(kind == 1, letter(t)).otherwise(decimal)
+    name = F.element_at(F.array(F.lit("exact_match_numeric"), F.lit("multiple_choice"), F.lit("exact_match_math")), (kind + 1).cast("int"))
+    s = A.score_answer(answer, truth, name, F.when(kind == 0, "gsm8k"))
     return li.select("l_orderkey", "l_linenumber", s.alias("s")).select("l_orderkey", "l_linenumber", "s.is_correct", "s.extracted_answer", "s.comparison_method")
