@@ -41,12 +41,17 @@ def test_sql(spark, duck, name):
     same(catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["graph_descriptors", "embedding_homology", "parsed_episodes", "parsed_summary", "parsed_legacy", "lexical_cycles"])
+@pytest.mark.parametrize("name", ["graph_descriptors", "embedding_homology", "structural_homology", "graph_paths", "parsed_episodes", "parsed_summary", "question_only", "column_importance"])
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["tfidf_baseline", "calibrated_lr"])
+def test_streamed_parse_is_that_of_the_batch(spark):
+    streamed, batch = (catalog.QUERIES[q](spark, SF).toPandas() for q in ("streamed_parse", "parsed_episodes"))
+    same(streamed[sorted(batch.columns)], batch)
+
+
+@pytest.mark.parametrize("name", ["tfidf_baseline", "calibrated_lr", "stacked_lr"])
 def test_every_labelled_row_is_predicted_once(spark, name):
     got = [r["item_id"] for r in catalog.QUERIES[name](spark, SF).select("item_id").collect()]
     assert sorted(got) == sorted(r["item_id"] for r in labelled(spark, SF).select("item_id").collect())

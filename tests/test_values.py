@@ -20,27 +20,9 @@ from tracelore.operators import modelling as M
 from tracelore.operators import parsing as P
 from tracelore.operators import relational as R
 from tracelore.operators import sequences as S
+from tracelore.plans.expected import BOXED, CHOSEN, CONFIDENCES, EQUIVALENT, JUDGED, MARKED, NORMALIZED, SCORED, SEGMENTS, SEVEN, SIX, STATED
 from tracelore.sources import records
 
-SEVEN = {
-    "B": ["Wait, that's wrong. Let me reconsider.", "No, I made an error in the calculation.", "Actually, the formula should be different.", "That doesn't seem right."],
-    "R": ["Let me try a different approach.", "Alternatively, we could use integration.", "Starting over with a new method.", "Instead, let me consider the problem from scratch."],
-    "V": ["Let me check this result.", "Let me verify by substituting back in.", "Double-checking the arithmetic.", "Is this correct?"],
-    "C": ["Therefore, the answer is 42.", "So the final answer is \\boxed{42}.", "In conclusion, x = 7."],
-    "S": ["First, I need to find the derivative.", "Step 1: Set up the equation.", "To solve this, we need to factor the polynomial.", "Let me start by defining the variables."],
-    "H": ["Hmm, this is tricky.", "I'm not sure about this step.", "I wonder if there's a simpler way."],
-    "F": ["We can write f(x) = 3x^2 + 2x - 1.", "The eigenvalues of A are 1, 2, and 3.", "Applying the quadratic formula gives us."],
-}
-SIX = {
-    "X": ["Wait, that's wrong. Let me reconsider.", "No, I made an error in step 2.", "Actually, the formula should be different.", "That doesn't work out correctly.", "I was wrong about the sign.", "My previous calculation was incorrect."],
-    "R": ["Let me try a completely different approach.", "Starting over from scratch.", "Alternatively, I could use integration.", "Instead, let me consider the dual problem.", "Switching to a geometric approach."],
-    "V": ["Let me check this result.", "Double-checking the arithmetic now.", "Is this answer correct?", "To verify, let me plug x = 3 back in.", "Does this make sense?"],
-    "C": ["Therefore, the answer is 42.", "In conclusion, x equals 7.", "Thus, the solution is x = 5.", "Hence the answer is 12."],
-    "H": ["Hmm, this is quite tricky.", "I wonder if there's a simpler way.", "I'm confused about the sign convention here.", "Uh, let me think about this for a moment."],
-    "F": ["We can write f(x) = 3x^2 + 2x - 1.", "The eigenvalues of A are 1, 2, and 3."],
-}
-
-
 @pytest.mark.parametrize("table", ["seven", "six"])
 def test_classes(spark, table):
     want = [(s, b) for b, ss in (SEVEN if table == "seven" else SIX).items() for s in ss]
@@ -54,14 +36,7 @@ def test_blank_and_null_sentences(spark):
     assert {(r["behavior"], r["confidence"]) for r in rows} == {("F", 0.0)}
 
 
-@pytest.mark.parametrize(
-    "text, low, high",
-    [
-        ("First, let me compute the derivative. Then I will evaluate it at x=0.", 2, 2), ("The value is 3.14 and we need to compare it with 2.72.", 1, 1), ("We have $f(x) = x^2 + 3.5x - 1$. Setting this equal to zero gives us the roots.", 2, 2),
-        ("First paragraph here.\n\nSecond paragraph here.", 2, 2), ("Line one of reasoning.\nLine two of reasoning.", 2, 2), ("Wait. That's not right. Let me reconsider.", 2, 3), ("From Eq. 5 we can see that the result follows. This proves the claim.", 2, 2),
-        ("", 0, 0), ("So we have 1, 2, 3, ... and this continues. The pattern is clear.", 2, 2), ("Let f(x) = x^2 + 2x + 1. We can factor this as (x+1)^2. Setting f(x) = 0, we get x = -1.", 2, 3),
-    ],
-)
+@pytest.mark.parametrize(("text", "low", "high"), SEGMENTS)
 def test_segments(text, low, high):
     assert low <= len(segment(text)) <= high
 
@@ -73,17 +48,10 @@ def test_merging_keeps_words(words, least):
 
 
 def test_answers():
-    assert A.boxed(r"\boxed{(3, \frac{\pi}{2})}") == r"(3, \frac{\pi}{2})"
-    assert A.boxed(r"\boxed{A} then \boxed{B}") == "B"
-    assert A.boxed("no boxed here") is None
-    for raw, want in ((r"\boxed{42}", "42"), ("$x+1$", "x+1"), (r"\text{cm}", "cm"), ("  3  +  4  ", "3 + 4"), ("42.", "42"), ("3.14", "3.14"), (r"\left( 3, \frac{\pi}{2} \right)", r"(3, \frac{\pi}{2})"), ("[ 1, 2 ]", "[1, 2]")):
-        assert A.normalized(raw) == want
-    for a, b, want in (("42", "42", True), ("0.5", "1/2", True), (r"\frac{1}{2}", "0.5", True), ("42", "43", False), ("0.333", "1/3", False), ("50%", "0.5", True), ("1,234", "1234", True)):
-        assert A.equivalent(a, b) is want
-    for text, want in (("The answer is 7.", "7"), ("Therefore, the answer is 100", "100"), (r"The answer is \boxed{\sqrt{2}}.", r"\sqrt{2}"), ("nothing", None)):
-        assert A.stated_answer(text) == want
-    assert [A.after_marks(t) for t in ("Some steps...\n#### 1,234", "#### 3.14", "so 5 and 6")] == ["1234", "3.14", "6"]
-    assert [A.choice(t) for t in ("The answer is A", r"\boxed{B}", "I choose (C)", "After analysis:\nD", "hm")] == ["A", "B", "C", "D", None]
+    for f, cases in ((A.boxed, BOXED), (A.normalized, NORMALIZED), (A.stated_answer, STATED), (A.after_marks, MARKED), (A.choice, CHOSEN)):
+        assert [f(text) for text, _ in cases] == [want for _, want in cases]
+    assert all(A.equivalent(a, b) is want for a, b, want in EQUIVALENT)
+    assert [A.score(a, t, k, e)["is_correct"] for a, t, k, e, want in SCORED if want is not None] == [want for *_, want in SCORED if want is not None]
     assert A.score("I think C is correct", "C", "multiple_choice")["is_correct"]
     assert A.score("x", "3", "multiple_choice")["comparison_method"] == "extraction_failed"
     with pytest.raises(ValueError):
@@ -98,11 +66,10 @@ def test_think_blocks_and_bytes(spark):
 
 
 def test_stated_confidence(spark):
-    rows = [("Confidence: 85", 0.85), ("I'm 75% confident", 0.75), ("I am not sure", 0.3), ("absolutely sure", 0.9), ("probably", 0.6), ("plain", 0.5), ("confidence level: 8/10", 0.08), (None, 0.5)]
-    got = spark.createDataFrame(rows, "t string, w double").select("w", C.stated_confidence(F.col("t")).alias("g")).collect()
+    got = spark.createDataFrame([*CONFIDENCES, (None, 0.5)], "t string, w double").select("w", C.stated_confidence(F.col("t")).alias("g")).collect()
     assert all(math.isclose(r["w"], r["g"]) for r in got)
-    judged = spark.createDataFrame([("Probability: 0.7",), ("Judgment: INCORRECT",), ("x",)], "t string").select(C.judge_probability(F.col("t"))).collect()
-    assert [r[0] for r in judged] == [0.7, 0.1, None]
+    judged = spark.createDataFrame(JUDGED, "t string, w double").select("w", C.judge_probability(F.col("t")).alias("g")).collect()
+    assert all(r["w"] == r["g"] for r in judged)
 
 
 @settings(max_examples=15, deadline=None)
@@ -136,6 +103,63 @@ def test_graph_descriptors():
     assert math.isclose(G.modularity(two), 0.5)
 
 
+def plain_bars(points):
+    """Loops by reducing all triangles in order of diameter."""
+    n = len(points)
+    dist = np.linalg.norm(points[:, None] - points[None], axis=2)
+    edges = sorted((dist[a, b], a, b) for a in range(n) for b in range(a + 1, n))
+    rank = {(a, b): k for k, (_, a, b) in enumerate(edges)}
+    columns, out = {}, []
+    for *_, faces in sorted((max(f), sorted(f, reverse=True), f) for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n) for f in [(rank[a, b], rank[a, c], rank[b, c])]):
+        column = set(faces)
+        while column and max(column) in columns:
+            column ^= columns[max(column)]
+        if column:
+            columns[max(column)] = column
+            out.append((edges[max(column)][0], edges[max(faces)][0]))
+    return sorted((b, d) for b, d in out if d > b)
+
+
+def test_homology_against_all_triangles():
+    rng = np.random.default_rng(3)
+    for n in (4, 9, 14):
+        x = rng.normal(size=(n, 2))
+        assert np.allclose(sorted(map(tuple, H.bars(x)[1])), plain_bars(x))
+    assert len(H.bars(rng.normal(size=(120, 13)))[0]) == 119
+
+
+def test_path_types_against_single_steps():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        b = rng.choice(list("FVBRSHC"), int(rng.integers(1, 25)))
+        n = len(b)
+        edges = [(i, i + 1, 0) for i in range(n - 1)] + [(i, j, 1) for i in range(n) for j in range(i + 3, n) if b[i] == b[j]]
+        edges += [(i, max(k for k in range(i) if b[k] in "FV"), 2) for i in range(n) if b[i] in "XRBS" and any(x in "FV" for x in b[:i])]
+        d, kind = np.full((n, n), 99), np.zeros((n, n), int)
+        np.fill_diagonal(d, 0)
+        for i, j, k in edges:
+            if d[i, j] > 1:
+                d[i, j] = d[j, i] = 1
+                kind[i, j] = kind[j, i] = k
+        for k in range(n):
+            for i in range(n):
+                for j in range(n):
+                    if d[i, k] + d[k, j] < d[i, j]:
+                        d[i, j], kind[i, j] = d[i, k] + d[k, j], max(kind[i, k], kind[k, j])
+        steps, got = G.path_types(b)
+        assert (steps == np.minimum(d, G.MAX_PATH)).all() and (got == kind).all()
+
+
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_quantiles(spark, monkeypatch, few):
+    monkeypatch.setattr(R, "FEW", few)
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=500).tolist(), [3.0] * 40 + [7.0], rng.integers(0, 9, 100).astype(float).tolist(), [1.0]):
+        rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        assert np.allclose(R.quantiles(rows, "v", [0, 0.1, 0.5, 0.9, 1]), np.quantile(values, [0, 0.1, 0.5, 0.9, 1]))
+    assert math.isnan(R.quantiles(rows.limit(0), "v", [0.5])[0])
+
+
 def test_homology_of_a_circle():
     t = np.linspace(0, 2 * np.pi, 20, endpoint=False)
     h0, h1 = H.bars(np.stack([np.cos(t), np.sin(t)], 1))

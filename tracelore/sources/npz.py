@@ -54,6 +54,42 @@ def read_steps(spark: SparkSession, path: str) -> DataFrame:
     return _archives(spark, path).mapInPandas(run, STEPS)
 
 
+def _write(packed: DataFrame, path: str) -> None:
+    """Rows (group, content), one archive each, to files named for the group: they pass through the driver one by one."""
+    spark = packed.sparkSession
+    jvm = spark.sparkContext._jvm
+    for r in packed.toLocalIterator():
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{r['group']}.npz")
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+        out.write(bytearray(r["content"]))
+        out.close()
+
+
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """(group, item_id, y_true, oof_prob, oof_fold) as one archive per group."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("item_id")
+        out = io.BytesIO()
+        np.savez(out, item_ids=part["item_id"].to_numpy(str), groups=part["group"].to_numpy(str), y_true=part["y_true"].to_numpy(int), oof_prob=part["oof_prob"].to_numpy(float), oof_fold=part["oof_fold"].to_numpy(int))
+        return pd.DataFrame({"group": [part["group"].iloc[0]], "content": [out.getvalue()]})
+
+    _write(rows.select("group", "item_id", "y_true", "oof_prob", "oof_fold").groupBy("group").applyInPandas(pack, "group string, content binary"), path)
+
+
+def write_steps(rows: DataFrame, path: str) -> None:
+    """(group, item_id, is_correct, step, step_type, embedding) as one archive per group, items in order with the place of each one's first step."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["item_id", "step"])
+        items = part.groupby("item_id", sort=True)
+        out = io.BytesIO()
+        np.savez(out, item_ids=np.array(list(items.groups), str), is_correct=items["is_correct"].first().to_numpy(int), offsets=np.append(0, np.cumsum(items.size().to_numpy())), embeddings=np.array(part["embedding"].tolist(), np.float32), step_types=part["step_type"].to_numpy(int))
+        return pd.DataFrame({"group": [part["group"].iloc[0]], "content": [out.getvalue()]})
+
+    _write(rows.select("group", "item_id", "is_correct", "step", "step_type", "embedding").groupBy("group").applyInPandas(pack, "group string, content binary"), path)
+
+
 def by_dimension(steps: DataFrame) -> DataFrame:
     """Traces and vectors of each group and embedding size."""
     return steps.groupBy("group", F.size("embedding").alias("dimension")).agg(F.countDistinct("item_id").alias("n_items"), F.count("*").alias("n_steps"))

@@ -42,6 +42,44 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return finite(rows, [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)])
 
 
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """Enriched records as lines of JSON, in as many files as tasks; nulls are left out and read back as nulls."""
+    rows.write.json(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A feature family as CSV, a folder for each group."""
+    rows.write.option("header", True).partitionBy("group").csv(path)
+
+
+def read_csv_family(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``write_csv`` wrote, with the group of each row; numbers that are missing or not finite are 0."""
+    wide = T.StructType([*schema.fields, T.StructField("group", T.StringType())])
+    return finite(spark.read.schema(wide).option("header", True).csv(path), [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)])
+
+
+RESULTS = "dataset string, results map<string,map<string,map<string,double>>>"
+
+
+def write_results(metrics: DataFrame, path: str) -> None:
+    """(dataset, baseline, classifier, metric, value) as one line of JSON per data set: baseline, classifier, metric."""
+    one = metrics.groupBy("dataset", "baseline", "classifier").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    two = one.groupBy("dataset", "baseline").agg(F.map_from_entries(F.collect_list(F.struct("classifier", "m"))).alias("m"))
+    two.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("baseline", "m"))).alias("results")).write.json(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``write_results``, of one or many files."""
+    rows = spark.read.schema(RESULTS).json(path).select("dataset", F.explode("results").alias("baseline", "m"))
+    return rows.select("dataset", "baseline", F.explode("m").alias("classifier", "m")).select("dataset", "baseline", "classifier", F.explode("m").alias("metric", "value"))
+
+
+def best_classifiers(results: DataFrame, metric: str = "auroc_mean") -> DataFrame:
+    """(dataset, baseline, classifier, value): of each baseline the classifier with the highest metric, the first by name of equal ones."""
+    rows = results.where(F.col("metric") == metric)
+    return rows.groupBy("dataset", "baseline").agg(F.min_by("classifier", F.struct(-F.col("value"), F.col("classifier"))).alias("classifier"), F.max("value").alias("value"))
+
+
 def finite(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls, NaN and infinities of the columns as 0."""
     return rows.withColumns({c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c)) for c in columns})
@@ -66,12 +104,6 @@ def usable_traces(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", text).where(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
-def mc_prompt(question: Column, choices: Column) -> Column:
-    """A question with its choices lettered from A."""
-    lettered = F.transform(choices, lambda c, i: F.concat(F.char(F.lit(65) + i), F.lit(") "), c))
-    return F.concat_ws("\n", question, F.array_join(lettered, "\n"))
-
-
 def limited(rows: DataFrame, key: str, n: int | None) -> DataFrame:
     """The first rows by key, the same at each run."""
     return rows if n is None else rows.orderBy(key).limit(n)
