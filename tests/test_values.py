@@ -10,7 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tracelore.functions import answers as A
+from tracelore.functions.classing import labels
 from tracelore.functions.segmenting import merged, segment
 from tracelore.operators import confidence as C
 from tracelore.operators import evaluation as E
@@ -31,6 +33,15 @@ def test_classes(spark, table):
     assert all(r["confidence"] == 0.5 for r in got if r["b"] == "F")
 
 
+@pytest.mark.parametrize("table", ["seven", "six"])
+def test_classes_in_batches_are_those_of_expressions(spark, table):
+    texts = [s for ss in (SEVEN if table == "seven" else SIX).values() for s in ss] + ["", "  ", "é wait, that is wrong", "Maybe a new approach", "maybe not", "Perhaps yes. perhaps", "Wait, let me check", "caféno error"]
+    texts += [s for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect() for s in segment(r["text"])]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(texts)], "k int, s string")
+    want = [tuple(r) for r in rows.select("k", P.classify(F.col("s"), table).alias("c")).orderBy("k").select("c.*").collect()]
+    assert list(zip(*labels(texts, table), strict=True)) == want
+
+
 def test_blank_and_null_sentences(spark):
     rows = spark.createDataFrame([(None,), ("",), ("  ",)], "s string").select(P.classify(F.col("s")).alias("c")).select("c.*").collect()
     assert {(r["behavior"], r["confidence"]) for r in rows} == {("F", 0.0)}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracelore.functions.patterns import ANSWER_SEVEN, ANSWER_SIX, LEGACY, PLAN, SEVEN, SIX
-from tracelore.functions.segmenting import plain_sentences, sentences
-
-TABLES = {"seven": SEVEN, "six": SIX}
+from tracelore.functions.classing import TABLES, labels
+from tracelore.functions.patterns import ANSWER_SEVEN, ANSWER_SIX, LEGACY, PLAN
+from tracelore.functions.segmenting import plain_sentences, segment
 
 
 def classify(text: Column, table: str = "seven") -> Column:
@@ -78,13 +81,37 @@ def refine(episodes: DataFrame, keys: list[str], table: str = "seven") -> DataFr
 
 
 def parse(traces: DataFrame, text: str, keys: list[str], table: str = "seven", least: int = 4) -> DataFrame:
-    """One row per episode: keys, position, text, behavior, confidence, matched_pattern, token_count. Blank traces give none."""
-    rows = traces.select(*keys, F.posexplode(sentences(least)(F.col(text))).alias("position", "text"))
-    rows = rows.withColumn("_c", classify(F.col("text"), table))
-    rows = rows.select(*keys, "position", "text", "_c.behavior", "_c.confidence", "_c.matched_pattern", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("token_count"))
+    """One row per episode: keys, position, text, behavior, confidence, matched_pattern, token_count. Blank traces give none.
+
+    Traces are cut and their sentences classified in the same worker, a batch at a time;
+    the corrections by context are native.
+    """
+    schema = T.StructType([*(T.StructField(k, traces.schema[k].dataType) for k in keys), *EPISODE])
+    rows = traces.select(*keys, text).mapInArrow(lambda batches: _episodes(batches, table, least, schema.names), schema)
     return refine(rows, keys, table)
 
 
+EPISODE = [T.StructField("position", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("behavior", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("matched_pattern", T.StringType()), T.StructField("token_count", T.IntegerType())]
+#: Traces whose sentences are classified at once.
+TRACES = 500
+
+
+def _episodes(batches: Iterator[pa.RecordBatch], table: str, least: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for a in range(0, len(whole), TRACES):
+            batch = whole.slice(a, TRACES)
+            parts = [segment(t, least) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            sentences = [s for part in parts for s in part]
+            if not sentences:
+                continue
+            behavior, confidence, which = labels(sentences, table)
+            row = pa.array([k for k, part in enumerate(parts) for _ in part], pa.int64())
+            place = pa.array([k for part in parts for k in range(len(part))], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(row) for k in range(batch.num_columns - 1)), place, pa.array(sentences, pa.string()), pa.array(behavior, pa.string()), pa.array(confidence), pa.array(which, pa.string()), pa.array([len(s.split()) for s in sentences], pa.int32())], names
+            )
+
+
 def parse_legacy(traces: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Episodes by the older splitter and classes, natively throughout."""
     rows = traces.select(*keys, F.posexplode(plain_sentences(F.col(text))).alias("position", "text"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tracelore.functions.segmenting import sentences
 from tracelore.operators import parsing
 
 
@@ -15,7 +16,7 @@ def parse_stream(traces: DataFrame, text: str, keys: list[str], *, time: str | N
     """Episodes of a stream of traces before context rules, each trace once: a second copy within ``late`` is dropped."""
     if time is not None:
         traces = traces.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
-    rows = traces.select(*keys, F.posexplode(parsing.sentences()(F.col(text))).alias("position", "text"))
+    rows = traces.select(*keys, F.posexplode(sentences()(F.col(text))).alias("position", "text"))
     return rows.select("*", parsing.classify(F.col("text")).alias("c")).select(*keys, "position", "text", "c.behavior", "c.confidence")
 
 
