@@ -55,6 +55,35 @@ def test_every_operator_stands_odd_rows_and_empty_tables(spark, odd, labels):
         assert report(odd.limit(0)).count() == 0
 
 
+def test_every_operator_takes_whole_long_texts(spark, labels):
+    """Texts longer than a chunk: what stands at their ends counts."""
+    rng = np.random.default_rng(17)
+    vocab = np.array([f"w{k}" for k in range(5000)])
+    body = " ".join(rng.choice(vocab, 300_000))
+    assert len(body) > textkit.CHUNK_BYTES
+    passage = " ".join(f"p{k}" for k in range(120))
+    texts = [f"{body} {passage}", f"{body} other {passage}", f"begin {passage}", "short text"]
+    rows = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = lambda df: {r["doc_id"]: r for r in df.collect()}
+    sizes = [len(words(t)) for t in texts]
+    assert [r["size"] for _, r in sorted(got(mixing.mix_report(rows)).items())] == sizes
+    assert [r["n_words"] for _, r in sorted(got(line_rules.rule_report(rows)).items())] == sizes
+    counter = token_counts.PieceCounter(token_counts.vocabulary())
+    assert [r["n_tokens"] for _, r in sorted(got(token_counts.token_counts(rows)).items())] == [token_counts.count_tokens(t, counter) for t in texts]
+    assert packing.pack(rows).count() == 4
+    lm = got(hmm_lm.lm_report(rows))
+    assert [lm[k]["n_tokens"] for k in range(4)] == [n + 1 for n in sizes]
+    near = got(ngram_join.jaccard_components(rows))
+    assert near[0]["component_id"] == near[1]["component_id"] == 0 and near[2]["component_id"] == 2
+    repeats = got(suffix_dedup.repeat_report(rows))
+    # the first text is in the second but for its last letter before the inserted word
+    assert repeats[0]["n_removed"] == len(texts[0]) and repeats[1]["n_removed"] >= len(texts[1]) - len(" other ") and repeats[2]["n_removed"] == len(passage) + 1
+    for report in (toxicity.toxicity_report(rows, labels), quality_crf.quality_report(rows, labels)):
+        assert all(0 <= r["score"] <= 1 for r in report.collect())
+    kept = got(corpus_pipeline.drop_repeats(spark, rows, SF))
+    assert [len(words(kept[k]["text"])) for k in range(4)] == [0, 1, 1, 2]
+
+
 def test_stages_keep_columns_and_stand_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         for rows in (odd, odd.limit(0)):
