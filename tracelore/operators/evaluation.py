@@ -182,7 +182,11 @@ def conformal_threshold(calibration: DataFrame, keys: list[str], alpha: float, p
 
 def conformal(calibration: DataFrame, test: DataFrame, keys: list[str], alpha: float, p: str = "p", y: str = "y") -> DataFrame:
     """Coverage, mean set size and shares of singletons and empty sets of the test rows of each slice."""
-    t = test.join(conformal_threshold(calibration, keys, alpha, p, y), keys)
+    return _covered(test.join(conformal_threshold(calibration, keys, alpha, p, y), keys), keys, alpha, p, y)
+
+
+def _covered(t: DataFrame, keys: list[str], alpha: float, p: str, y: str) -> DataFrame:
+    """``conformal`` of test rows that have threshold and n_cal."""
     t = t.withColumns({"in1": (1 - F.col(p)) <= F.col("threshold"), "in0": F.col(p) <= F.col("threshold")})
     size = F.col("in0").cast("int") + F.col("in1").cast("int")
     covered = F.when(F.col(y) == 1, F.col("in1")).otherwise(F.col("in0"))
@@ -194,12 +198,32 @@ def conformal(calibration: DataFrame, test: DataFrame, keys: list[str], alpha: f
 
 
 def leave_one_out(rows: DataFrame, group: str, alpha: float, p: str = "p", y: str = "y", least: int = 30) -> DataFrame:
-    """Conformal sets of every group of at least ``least`` rows, calibrated on all the others."""
-    names = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(F.col(group).alias("target"))
-    # each row calibrates once for every other group: their number is small
-    calibration = rows.join(F.broadcast(names), F.col(group) != F.col("target")).select("target", p, y)
-    test = rows.join(F.broadcast(names), F.col(group) == F.col("target")).select("target", p, y)
-    return conformal(calibration, test, ["target"], alpha, p, y)
+    """Conformal sets of every group of at least ``least`` rows, calibrated on all the others.
+
+    A group's threshold is an order statistic of all scores without its own: bands of the
+    scores are counted once for all and once per group, and the difference tells the bands
+    that hold it. Only the scores of those bands are looked at again; no row is copied.
+    """
+    named = F.col(group).alias("target")
+    at = rows.select(named, F.when(F.col(y) == 1, 1 - F.col(p)).otherwise(F.col(p)).alias("s")).groupBy("target", "s").agg(F.count("*").alias("c")).withColumn("band", band(F.col("s")))
+    own = at.groupBy("target", "band").agg(F.sum("c").alias("own"))
+    sizes = own.groupBy("target").agg(F.sum("own").alias("n"))
+    total = int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    n = F.col("n_cal")
+    goal = sizes.where(F.col("n") >= least).select("target", (F.lit(total) - F.col("n")).alias("n_cal")).where(n > 0)
+    goal = goal.withColumn("at", (n - 1) * F.least(F.lit(1.0), F.ceil((n + 1) * (1 - alpha)) / n))
+    # BANDS + 2 rows per group
+    grid = goal.select("target", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(BANDS + 1).cast("long"))).alias("band"))
+    grid = grid.join(own.groupBy("band").agg(F.sum("own").alias("all")), "band").join(own, ["target", "band"], "left").withColumn("c", F.col("all") - F.coalesce("own", F.lit(0)))
+    earlier = lambda *by: Window.partitionBy("target", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("before", F.coalesce(F.sum("c").over(earlier("band")), F.lit(0))).join(goal, "target")
+    grid = grid.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c"))).select("target", "n_cal", "at", "rank", "band", "before")
+    # two rows per group at most
+    near = at.groupBy("band", "s").agg(F.sum("c").alias("all")).join(F.broadcast(grid), "band").join(at.select("target", "s", F.col("c").alias("own")), ["target", "s"], "left").withColumn("c", F.col("all") - F.coalesce("own", F.lit(0)))
+    near = near.withColumn("upto", F.col("before") + F.coalesce(F.sum("c").over(earlier("rank", "s")), F.lit(0))).where((F.col("upto") <= F.col("rank")) & (F.col("rank") < F.col("upto") + F.col("c")))
+    ends = near.groupBy("target").agg(F.max("n_cal").alias("n_cal"), F.max("at").alias("at"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+    threshold = ends.select("target", "n_cal", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("threshold"))
+    return _covered(rows.select(named, p, y).join(F.broadcast(threshold), "target"), ["target"], alpha, p, y)
 
 
 def stratified_folds(rows: DataFrame, strata: list[str], key: str, folds: int = 5, seed: int = 42) -> DataFrame:
