@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -162,23 +162,32 @@ SCORE = "is_correct boolean, extracted_answer string, ground_truth_normalized st
 
 
 KINDS = ("exact_match_math", "exact_match_numeric", "multiple_choice")
+#: Scored rows that a task remembers.
+KNOWN = 20_000
 
 
 def score_answer(answer: Column, truth: Column, kind: Column, extraction: Column) -> Column:
     """``score`` as a column of structs, in Arrow batches; null answers and truths are empty texts.
 
     Rows of an unknown or null kind have no verdict: null, and the method "unknown_type".
-    Equal rows of a batch are scored once.
+    Equal rows of a task are scored once, as far as KNOWN of them are remembered; long ones are not.
     """
 
     @F.pandas_udf(SCORE)
-    def run(a: pd.Series, t: pd.Series, k: pd.Series, e: pd.Series) -> pd.DataFrame:
-        names, seen, out = [x.split()[0] for x in SCORE.split(", ")], {}, []
-        for row in zip(a, t, k, e, strict=True):
-            if row not in seen:
-                seen[row] = tuple(score(row[0] or "", row[1] or "", row[2], row[3])[n] for n in names) if row[2] in KINDS else (None, None, row[1], "unknown_type")
-            out.append(seen[row])
-        return pd.DataFrame(out, columns=names)
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        names, known = [x.split()[0] for x in SCORE.split(", ")], {}
+        for part in parts:
+            out = []
+            for row in zip(*part, strict=True):
+                found = known.get(row)
+                if found is None:
+                    found = tuple(score(row[0] or "", row[1] or "", row[2], row[3])[n] for n in names) if row[2] in KINDS else (None, None, row[1], "unknown_type")
+                    if len(row[0] or "") + len(row[1] or "") < 500:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[row] = found
+                out.append(found)
+            yield pd.DataFrame(out, columns=names)
 
     return run(answer, truth, kind, extraction)
 
