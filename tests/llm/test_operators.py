@@ -555,7 +555,7 @@ def test_vector_links_of_a_dense_group():
     x = np.concatenate([rng.normal(size=(1, 32)) + 0.05 * rng.normal(size=(6000, 32)), rng.normal(size=(1000, 32))])
     x /= np.linalg.norm(x, axis=1)[:, None]
     want = exact_links(x).sum(1)
-    total, u, v = vector_graph.linked(x, np.arange(7000), np.ones(7000, np.int64))
+    total, u, v, _ = vector_graph.linked(x, np.arange(7000), np.ones(7000, np.int64))
     assert (total == want).all() and len(u) == 5999
     some = np.arange(0, 7000, 500)
     total, _, _ = vector_graph.in_range(x, some, *vector_graph.graph(x.astype(np.float32)), np.ones(7000, np.int64))
@@ -570,18 +570,40 @@ def test_graph_that_misses_links_is_not_used(monkeypatch):
     hit = x @ x.T >= vector_graph.LINK
     np.fill_diagonal(hit, False)
     want = (hit @ weight)[queries]
-    monkeypatch.setattr(vector_graph, "DIRECT", 0)
     monkeypatch.setattr(vector_graph, "BLOCK", 9000)
-    monkeypatch.setattr(vector_graph, "WORTH", 0)
-    total, _, _ = vector_graph.linked(x, queries, weight)
-    assert (total <= want).all() and (total == want).mean() >= vector_graph.RECALL
+    monkeypatch.setattr(vector_graph, "AUDITED", 20)
+    total, _, _, recall = vector_graph.linked(x, queries, weight)
+    assert (total <= want).all() and (total == want).mean() >= vector_graph.RECALL and recall >= vector_graph.RECALL
     blind = lambda x, queries, *_: (np.zeros(len(queries), np.int64), *(np.zeros(0, np.int64),) * 2)
     monkeypatch.setattr(vector_graph, "in_range", blind)
-    total, u, v = vector_graph.linked(x, queries, weight)
-    assert (total == want).all()
+    total, u, v, recall = vector_graph.linked(x, queries, weight)
+    assert (total == want).all() and recall == 1
     assert hit[u, v].all()
 
 
+def test_links_come_from_the_graph(monkeypatch):
+    """Sparse links of shards small and large are found by the search alone: the comparison sees audited rows only."""
+    rng = np.random.default_rng(21)
+    for n in (60, 3000):
+        x = rng.normal(size=(n, 32))
+        x[n // 2 :] = x[: n - n // 2] + 0.02 * rng.normal(size=(n - n // 2, 32))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        seen, plain = [], vector_graph.compared
+
+        def counted(x, queries, *rest, plain=plain, seen=seen):
+            seen.append(len(queries))
+            return plain(x, queries, *rest)
+
+        monkeypatch.setattr(vector_graph, "AUDITED", 10)
+        monkeypatch.setattr(vector_graph, "compared", counted)
+        total, u, v, recall = vector_graph.linked(x, np.arange(n), np.ones(n, np.int64))
+        assert (total == exact_links(x).sum(1)).all() and len(u) == n // 2 and recall == 1
+        assert max(seen) <= 30
+        monkeypatch.setattr(vector_graph, "compared", plain)
+    x = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    assert vector_graph.linked(x, np.arange(64), np.ones(64, np.int64))[3] is None
+
+
 # 10
 
 

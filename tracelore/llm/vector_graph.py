@@ -2,15 +2,16 @@
 
 Vectors of a label are dealt to their nearest of a bounded number of centres, and to every
 other one whose cell may hold a vector within range, by their distance to the plane between
-the two: all partners of a vector are in its first shard. A small shard is compared in
-blocks. A larger one cuts itself into overlapping leaves, links every vector of a leaf to
-its nearest ones pruned robustly, and takes the union of the leaves' adjacency lists; a
+the two: all partners of a vector are in its first shard. A shard cuts itself into
+overlapping leaves, links every vector of a leaf to its nearest ones pruned robustly, and takes the union of the leaves' adjacency lists; a
 greedy search from the leaves' medoids leads to a vector's surroundings, and from there the
 search widens over all neighbours within range, each verified in double precision. Each
-such shard audits the search on vectors that have links, and is compared in blocks where it
-falls short, or where links are so many that comparing costs less than following them. A
-shard too large for a task is compared block by block in many. Tasks give back one count per vector and a spanning forest of the links, never
-the pairs.
+shard audits the search against a comparison with all its vectors, on vectors that have
+links or nearly do and on any others, and is compared in blocks where it falls short, or
+where a dense group makes links a large share of all pairs. Of a shard too large for a task
+every block is searched so, and blocks are compared with each other in tasks of their own.
+Tasks give back one count per vector, the audited recall and a spanning forest of the
+links, never the pairs.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ LINK = 0.98
 PER_CENTRE, MOST_CENTRES, WHOLE = 2000, 8192, 16_384
 #: Vectors of a leaf; neighbours tried and kept; slack of the pruning; beam and most steps of the greedy search.
 LEAF, TRIED, KEPT, SLACK, BEAM, STEPS = 1024, 48, 20, 1.2, 16, 40
-#: Pairs of a shard that is compared in blocks, and of one block; linked vectors that a larger shard is audited on; share of them that must have all their links.
-DIRECT, BLOCK, AUDITED, RECALL = 1 << 24, 1 << 22, 200, 0.97
-#: Pairs of a query and a vector that the range search marks at once; neighbours that it looks up at once; pairs that a
-#: comparison in blocks makes in the time in which the range search follows one link.
-MARKED, FOLLOWED, WORTH = 1 << 24, 1 << 20, 400
+#: Pairs of one block of a comparison; vectors of each kind that a shard is audited on; share of the linked ones that must have all their links.
+BLOCK, AUDITED, RECALL = 1 << 22, 200, 0.97
+#: Pairs of a query and a vector that the range search marks at once; neighbours that it looks up at once; share
+#: of all pairs of a shard above which links are compared and not followed.
+MARKED, FOLLOWED, DENSE = 1 << 24, 1 << 20, 1 / 32
 
 
 def leaves(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
@@ -202,36 +203,42 @@ def compared(x: np.ndarray, queries: np.ndarray, weight: np.ndarray, rows: np.nd
     return total, u, v, pairs
 
 
-def linked(x: np.ndarray, queries: np.ndarray, weight: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What ``in_range`` gives, by the graph where it finds all links of enough audited queries, else by comparison.
+def audit_rows(x: np.ndarray, queries: np.ndarray, lists: np.ndarray, start: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Places of the queries that an audit looks at, AUDITED of each kind: any, those with a neighbour in range, and those that come nearest to having one."""
+    where, near = _neighbours(queries, lists, start)
+    best = np.full(len(queries), -2, x.dtype)
+    for a in range(0, len(where), 100_000):
+        np.maximum.at(best, where[a : a + 100_000], np.einsum("nd,nd->n", x[queries[where[a : a + 100_000]]], x[near[a : a + 100_000]]))
+    tied, rest = rng.permutation(np.flatnonzero(best >= LINK)), np.flatnonzero(best < LINK)
+    rest = rest[np.argsort(-best[rest], kind="stable")]
+    return np.unique(np.concatenate([rng.permutation(len(queries))[:AUDITED], tied[:AUDITED], rest[:AUDITED]]))
 
-    The audit compares queries until AUDITED have links, each counted once whatever the
-    weight of its links; where so few have any, all are compared by then. Queries with so
-    many links that following them costs more than a comparison in blocks are compared too.
+
+def linked(x: np.ndarray, queries: np.ndarray, weight: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, float | None]:
+    """What ``in_range`` gives by the graph, and the audited recall: the share of audited queries with links that got all of them, each counted once whatever the weight of its links.
+
+    The recall is None where no audited query has a link. An exact comparison in blocks
+    stands in, with recall 1, where the recall is under RECALL; where a sample shows so
+    dense a group that links make more than DENSE of all pairs; and for at most KEPT
+    vectors, which would all be each other's neighbours.
     """
-    if len(queries) * len(x) <= DIRECT:
-        return compared(x, queries, weight)[:3]
-    order = np.random.default_rng(seed).permutation(len(queries))
-    true, u, v, done, pairs = np.zeros(len(queries), np.int64), [], [], 0, 0
-    step = max(1, min(AUDITED, BLOCK // len(x)))
-    while done < len(queries) and np.count_nonzero(true) < AUDITED:
-        at = order[done : done + step]
-        true[at], s, t, n = compared(x, queries[at], weight)
-        u.append(s)
-        v.append(t)
-        done, pairs = done + len(at), pairs + n
-    if done < len(queries):
-        if pairs * WORTH >= done * len(x):
-            return compared(x, queries, weight)[:3]
-        total, s, t = in_range(x, queries, *graph(x.astype(np.float32)), weight)
-        tried = order[:done][true[order[:done]] > 0]
-        if (total[tried] == true[tried]).mean() < RECALL:
-            return compared(x, queries, weight)[:3]
-        total[order[:done]] = true[order[:done]]
-        true = total
-        u.append(s)
-        v.append(t)
-    return true, *forest(np.concatenate(u), np.concatenate(v))
+    if len(x) <= KEPT or not len(queries):
+        return *compared(x, queries, weight)[:3], 1.0
+    rng = np.random.default_rng(seed)
+    some = rng.permutation(len(queries))[:AUDITED]
+    if compared(x, queries[some], weight)[3] > DENSE * len(some) * len(x):
+        return *compared(x, queries, weight)[:3], 1.0
+    coarse = x.astype(np.float32)
+    lists, start, medoids = graph(coarse)
+    total, u, v = in_range(x, queries, lists, start, medoids, weight)
+    tried = audit_rows(coarse, queries, lists, start, rng)
+    true, s, t, _ = compared(x, queries[tried], weight)
+    has = true > 0
+    recall = float((total[tried] == true)[has].mean()) if has.any() else None
+    if recall is not None and recall < RECALL:
+        return *compared(x, queries, weight)[:3], 1.0
+    total[tried] = true
+    return total, *forest(np.concatenate([u, s]), np.concatenate([v, t])), recall
 
 
 def across(x: np.ndarray, queries: np.ndarray, weight: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -317,7 +324,7 @@ DEALT = "shard int, key long, label string, unit array<double>, weight long, hom
 
 
 def search(classes: DataFrame) -> DataFrame:
-    """(key, n, root): links of each class, in parts to be added up, and rows (key, null, root) that tie linked classes.
+    """(key, n, root, recall): links of each class, in parts to be added up, and rows (key, null, root) that tie linked classes; recall is that audited in the shard.
 
     A shard of over WHOLE vectors is cut into blocks by a hash, and every two of its blocks
     are compared in a task of their own.
@@ -368,9 +375,10 @@ def search(classes: DataFrame) -> DataFrame:
             x = np.array(rows["unit"].to_pylist())
             keys, weight, home, block = rows["key"].to_numpy(), rows["weight"].to_numpy(), rows["home"].to_numpy(zero_copy_only=False), rows["block"].to_numpy()
             queries = np.flatnonzero(home)
-            total, u, v = across(x, queries, weight, block) if rows["i"][0] != rows["j"][0] else linked(x, queries, weight)
+            total, u, v, recall = (*across(x, queries, weight, block), 1.0) if rows["i"][0] != rows["j"][0] else linked(x, queries, weight)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([keys[queries], keys[u]])), pa.array(np.concatenate([total, np.zeros(len(u), np.int64)]), mask=np.append(np.zeros(len(queries), bool), np.ones(len(u), bool))), pa.array(np.concatenate([keys[queries], keys[v]]))], ["key", "n", "root"]
+                [pa.array(np.concatenate([keys[queries], keys[u]])), pa.array(np.concatenate([total, np.zeros(len(u), np.int64)]), mask=np.append(np.zeros(len(queries), bool), np.ones(len(u), bool))), pa.array(np.concatenate([keys[queries], keys[v]])), pa.array([recall] * (len(queries) + len(u)), pa.float64())],
+                ["key", "n", "root", "recall"],
             )
 
     members = classes.select("key", "label", "unit", "weight")
@@ -386,7 +394,7 @@ def search(classes: DataFrame) -> DataFrame:
     else:
         dealt = dealt.select("shard", "key", "label", "unit", "weight", "home", zero.alias("block"), zero.alias("i"), zero.alias("j"))
     by = ["shard", "label", "i", "j"]
-    return dealt.repartition(width, *by).sortWithinPartitions("shard", "label", F.size("unit"), "i", "j").mapInArrow(lean(find), "key long, n long, root long")
+    return dealt.repartition(width, *by).sortWithinPartitions("shard", "label", F.size("unit"), "i", "j").mapInArrow(lean(find), "key long, n long, root long, recall double")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -411,7 +419,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): one row per row of ``vectors`` (vec_id, label, embedding).
+    """(vec_id, n_links, component_id, kept, recall): one row per row of ``vectors`` (vec_id, label, embedding).
+
+    recall is the least one audited where the vector was searched: 1 where it was compared
+    with all others, null where no audited vector has a link or the vector can't link.
 
     Vectors are compared within a label and a dimension. Equal vectors are one class, so a
     hot vector costs one row. Rows with a null label or a vector that is null, empty, zero or
@@ -424,10 +435,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     classes = stored(named.groupBy("label", "h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "vector-classes")
     found = stored(search(classes), "links")
     ties = connected(found.where("n IS NULL").select("key", "root"))
-    classes = classes.join(found.where("n IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")), "key", "left").join(ties.select(F.col("u").alias("key"), F.col("v").alias("top")), "key", "left")
-    classes = classes.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("top", "key").alias("top"))
+    classes = classes.join(found.where("n IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), F.min("recall").alias("recall")), "key", "left").join(ties.select(F.col("u").alias("key"), F.col("v").alias("top")), "key", "left")
+    classes = classes.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("top", "key").alias("top"), "recall")
     member = named.select("key", "vec_id", "label", "h1", "h2").join(classes, ["label", "h1", "h2"])
     least = member.groupBy("top").agg(F.min("vec_id").alias("component_id"))
-    linked = member.join(least, "top").select("vec_id", "n_links", "component_id")
-    alone = rows.where(F.col("label").isNull() | F.col("unit").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    linked = member.join(least, "top").select("vec_id", "n_links", "component_id", "recall")
+    alone = rows.where(F.col("label").isNull() | F.col("unit").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
+    return linked.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "recall")
