@@ -74,7 +74,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return grams[anchor[first]], span_hash(prefix, lo, hi + length), doc, lo - offsets[doc], hi - offsets[doc]
 
 
-SEGMENTS = "h long, seg long, n long, key long, lo int, hi int, covered boolean"
+SEGMENTS = "h long, seg long, n long, key binary, lo int, hi int, covered boolean"
 
 
 def _cut(length: int, gram: int):
@@ -82,7 +82,7 @@ def _cut(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys = batch.column(0)
             parts = [(h, s, d + first, lo, hi) for first, _, data, offsets in chunks(batch.column(1), CUT_BYTES) for h, s, d, lo, hi in [segments(data, offsets, length, gram)]]
             h, s, d, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
             if not len(h):
@@ -91,7 +91,7 @@ def _cut(length: int, gram: int):
             head = np.append(True, (h[order][1:] != h[order][:-1]) | (s[order][1:] != s[order][:-1]))
             count = np.diff(np.append(np.flatnonzero(head), len(h)))
             first = order[head]
-            yield _segment_rows(h[first], s[first], count, keys[d[first]], lo[first], hi[first], count > 1)
+            yield _segment_rows(h[first], s[first], count, keys.take(pa.array(d[first])), lo[first], hi[first], count > 1)
             rest = np.sort(order[~head])
             if len(rest):
                 # consecutive segments of a text in one row
@@ -99,13 +99,13 @@ def _cut(length: int, gram: int):
                 begin = np.flatnonzero(~joins)
                 end = np.append(begin[1:], len(rest)) - 1
                 zero = np.zeros(len(begin), np.int64)
-                yield _segment_rows(zero.astype(np.uint64), zero.astype(np.uint64), zero, keys[d[rest[begin]]], lo[rest[begin]], hi[rest[end]], np.ones(len(begin), bool))
+                yield _segment_rows(zero.astype(np.uint64), zero.astype(np.uint64), zero, keys.take(pa.array(d[rest[begin]])), lo[rest[begin]], hi[rest[end]], np.ones(len(begin), bool))
 
     return run
 
 
 def _segment_rows(h, s, n, key, lo, hi, covered) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(key), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(covered)], [f.split()[0] for f in SEGMENTS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(n.astype(np.int64)), key, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(covered)], [f.split()[0] for f in SEGMENTS.split(", ")])
 
 
 def shard_starts(pieces: list[bytes], singles: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -124,11 +124,11 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[head], starts[np.append(head[1:], len(starts)) - 1] if len(starts) else starts
 
 
-SPANS = "key long, lo int, hi int"
+SPANS = "key binary, lo int, hi int"
 
 
 def _span_rows(key: list, lo: list, hi: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["key", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["key", "lo", "hi"])
 
 
 def _sort_shards(length: int):
@@ -170,7 +170,7 @@ def _split_blocks(length: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, key, base, lo, hi, anchor = (batch.column(k).to_numpy() for k in range(6))
+            h, base, lo, hi, anchor = (batch.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
             first = (anchor - hi) // block
             many = (anchor - lo) // block - first + 1
             row = np.repeat(np.arange(len(batch)), many)
@@ -191,7 +191,7 @@ def _split_blocks(length: int, block: int):
                 cores[mine] = mix(span_hash(prefix, shift + x, shift + y) ^ h[row[mine]].view(np.uint64)) + nth[mine].astype(np.uint64)
                 full[mine] = mix(span_hash(prefix, shift + a[mine], shift + b[mine] + length)) + (anchor[row[mine]] - a[mine]).astype(np.uint64)
                 done = mine.stop
-            yield pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(full.view(np.int64)), pa.array(h[row]), pa.array(key[row]), pa.array(base[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["core", "full", "h", "key", "base", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(full.view(np.int64)), pa.array(h[row]), batch.column(1).take(pa.array(row)), pa.array(base[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["core", "full", "h", "key", "base", "lo", "hi"])
 
     return run
 
@@ -220,7 +220,7 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, view: View
     wanted = open_.select("key").union(whole.select("key")).distinct()
     wanted = stored(wanted, "wanted")
     texts = likely_in(docs.select("key", "text"), "key", wanted).join(wanted, "key").dropDuplicates(["key"])
-    texts = stored(texts if view is None else texts.mapInArrow(lean(view), "key long, text string"), "texts")
+    texts = stored(texts if view is None else texts.mapInArrow(lean(view), "key binary, text string"), "texts")
     piece = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
     pieces = open_.join(texts, "key").select("h", "key", "lo", "hi", "single", "kinds", piece.alias("piece"))
     pieces = stored(pieces, "pieces")
@@ -239,12 +239,12 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, view: View
 def _hot(hot: DataFrame, length: int, gram: int) -> DataFrame:
     """Repeated starts of segments whose anchor has too many kinds for one shard, by blocks of falling size."""
     # the anchor's place is the same in equal strings: any fixed point of the segment that depends on its strings alone
-    hot = stored(hot.select("h", "key", F.col("lo").alias("base"), "hi", "piece").mapInArrow(lean(_find_anchor(length, gram)), "h long, key long, base int, last int, anchor int, piece binary"), "hot")
+    hot = stored(hot.select("h", "key", F.col("lo").alias("base"), "hi", "piece").mapInArrow(lean(_find_anchor(length, gram)), "h long, key binary, base int, last int, anchor int, piece binary"), "hot")
     rows = hot.select("h", "key", "base", F.lit(0).alias("lo"), F.col("last").alias("hi"))
     found = []
     # a block's strings must share a core
     for block in [b for b in BLOCKS if b == 1 or 2 * b <= length]:
-        cut = rows.join(hot, ["h", "key", "base"]).select("h", "key", "base", "lo", "hi", "anchor", "piece").mapInArrow(lean(_split_blocks(length, block)), "core long, full long, h long, key long, base int, lo int, hi int")
+        cut = rows.join(hot, ["h", "key", "base"]).select("h", "key", "base", "lo", "hi", "anchor", "piece").mapInArrow(lean(_split_blocks(length, block)), "core long, full long, h long, key binary, base int, lo int, hi int")
         cut = stored(cut, "blocks")
         whole = stored(cut.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("h", "key", "base", "lo", "hi")).alias("one")), "judged")
         found.append(cut.join(whole.where("n > 1").select("core", "full"), ["core", "full"]).select("key", "base", "lo", "hi"))
@@ -274,9 +274,10 @@ def _find_anchor(length: int, gram: int):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their contents; rows with one key are equal in id and text."""
-    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
+def keyed(docs: DataFrame, name: str = "key") -> DataFrame:
+    """The rows with a key of their contents, two hashes of 64 bits; rows with one key are equal in id and text."""
+    half = lambda *of: F.lpad(F.hex(F.xxhash64(*of)), 16, "0")
+    return docs.withColumn(name, F.unhex(F.concat(half("doc_id", "text"), half(F.lit(1), "doc_id", "text"))))
 
 
 def merged(lo: list[int], hi: list[int], length: int) -> list[tuple[int, int]]:
@@ -330,7 +331,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     Spans shrink to whole characters, so texts stay valid. Rows stay even if nothing is left.
     """
     names = docs.columns
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows = keyed(docs, "_key")
     runs = spans(rows.select(F.col("_key").alias("key"), "text"), length=length, gram=gram)
     per = runs.groupBy(F.col("key").alias("_key2")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
 
@@ -432,7 +433,7 @@ def remove_passages(docs: DataFrame, *, words: int = WORDS, length: int = LENGTH
     by bytes too, so nothing that ``remove_repeats`` finds stays but parts of words.
     """
     names = docs.columns
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows = keyed(docs, "_key")
     keyed_rows = rows.select(F.col("_key").alias("key"), "text")
     coded = spans(keyed_rows, length=CODE * words, gram=CODE * max(1, words // 4), view=_as_codes)
     plain = spans(keyed_rows, length=length, gram=gram, view=_not_wordy(words, length))

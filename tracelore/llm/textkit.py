@@ -86,15 +86,20 @@ def drop_stored(df: DataFrame) -> None:
 SLOTS = 1 << 20
 
 
+def _slot(rows: DataFrame, key: str) -> Column:
+    """The slot of a key; whole numbers of all types have one as longs."""
+    c = F.col(key)
+    return F.pmod(F.xxhash64(c if rows.schema[key].dataType.typeName() == "binary" else c.cast("long")), F.lit(SLOTS))
+
+
 def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose key is not in ``keys`` (one long column): what follows need not shuffle them.
+    """``rows`` without most of those whose key is not in ``keys`` (one column of the key's type): what follows need not shuffle them.
 
     Keys are hashed to SLOTS slots and the slots in use are broadcast, so some other rows
     stay, more the more keys there are; the join that follows drops them.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SLOTS))
-    used = keys.select(slot(F.col(keys.columns[0])).alias("_slot")).distinct()
-    return rows.join(F.broadcast(used), slot(F.col(key)) == F.col("_slot"), "left_semi")
+    used = keys.select(_slot(keys, keys.columns[0]).alias("_slot")).distinct()
+    return rows.join(F.broadcast(used), _slot(rows, key) == F.col("_slot"), "left_semi")
 
 
 def left_by_key(rows: DataFrame, key: str, found: DataFrame, other: str) -> DataFrame:
@@ -102,9 +107,8 @@ def left_by_key(rows: DataFrame, key: str, found: DataFrame, other: str) -> Data
 
     A left join that moves only rows whose key may be found; ``found`` has one row per key.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SLOTS))
-    used = F.broadcast(found.select(slot(F.col(other)).alias("_slot")).distinct())
-    marked = rows.withColumn("_at", F.coalesce(slot(F.col(key)), F.lit(-1).cast("long")))
+    used = F.broadcast(found.select(_slot(found, other).alias("_slot")).distinct())
+    marked = rows.withColumn("_at", F.coalesce(_slot(rows, key), F.lit(-1).cast("long")))
     names = [c for c in found.columns if c != other]
     alone = marked.join(used, F.col("_at") == F.col("_slot"), "left_anti").drop("_at").withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in names})
     likely = marked.join(used, F.col("_at") == F.col("_slot"), "left_semi").drop("_at")
