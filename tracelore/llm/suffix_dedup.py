@@ -170,28 +170,25 @@ def _split_blocks(length: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, base, lo, hi, anchor = (batch.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
-            first = (anchor - hi) // block
-            many = (anchor - lo) // block - first + 1
-            row = np.repeat(np.arange(len(batch)), many)
-            nth = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            # distance to the anchor in [nth * block, (nth + 1) * block)
-            to = anchor[row] - nth * block
-            core_from, core_to = to, to - block + 1 + length
-            a, b = np.maximum(lo[row], to - block + 1), np.minimum(hi[row], to)
-            cores, full = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
-            done = 0
-            for begin, end, data, offsets in chunks(batch.column(6)):
+            # a chunk has at most a block for each of its bytes
+            for begin, end, data, offsets in chunks(batch.column(6), min(textkit.CHUNK_BYTES, CUT_BYTES * block)):
+                h, base, lo, hi, anchor = (batch.column(k).slice(begin, end - begin).to_numpy() for k in (0, 2, 3, 4, 5))
+                first = (anchor - hi) // block
+                many = (anchor - lo) // block - first + 1
+                row = np.repeat(np.arange(end - begin), many)
+                nth = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                # distance to the anchor in [nth * block, (nth + 1) * block)
+                to = anchor[row] - nth * block
+                a, b = np.maximum(lo[row], to - block + 1), np.minimum(hi[row], to)
                 prefix = prefix_hash(data)
-                mine = slice(done, int(np.searchsorted(row, end)))
-                shift = offsets[row[mine] - begin]
+                shift = offsets[row]
                 # a piece may not hold a whole core at its ends: then the part that it holds, of a length that says so
-                size = offsets[row[mine] - begin + 1] - shift
-                x, y = np.clip(core_from[mine], 0, size), np.clip(core_to[mine], 0, size)
-                cores[mine] = mix(span_hash(prefix, shift + x, shift + y) ^ h[row[mine]].view(np.uint64)) + nth[mine].astype(np.uint64)
-                full[mine] = mix(span_hash(prefix, shift + a[mine], shift + b[mine] + length)) + (anchor[row[mine]] - a[mine]).astype(np.uint64)
-                done = mine.stop
-            yield pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(full.view(np.int64)), pa.array(h[row]), batch.column(1).take(pa.array(row)), pa.array(base[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["core", "full", "h", "key", "base", "lo", "hi"])
+                size = offsets[row + 1] - shift
+                x, y = np.clip(to, 0, size), np.clip(to - block + 1 + length, 0, size)
+                core = mix(span_hash(prefix, shift + x, shift + y) ^ h[row].view(np.uint64)) + nth.astype(np.uint64)
+                full = mix(span_hash(prefix, shift + a, shift + b + length)) + (anchor[row] - a).astype(np.uint64)
+                key = batch.column(1).slice(begin, end - begin).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(h[row]), key, pa.array(base[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["core", "full", "h", "key", "base", "lo", "hi"])
 
     return run
 
