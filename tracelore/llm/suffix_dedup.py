@@ -277,38 +277,82 @@ def keyed(docs: DataFrame, name: str = "key") -> DataFrame:
     return docs.withColumn(name, F.unhex(F.concat(half("doc_id", "text"), half(F.lit(1), "doc_id", "text"))))
 
 
-def merged(lo: list[int], hi: list[int], length: int) -> list[tuple[int, int]]:
-    """Byte spans that runs of starts cover, joined where they touch."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(lo, hi, strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + length)
-        else:
-            out.append([a, b + length])
-    return [(a, b) for a, b in out]
+def merged(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the spans that runs of starts cover, joined where they touch."""
+    order = np.argsort(lo, kind="stable")
+    lo, end = np.asarray(lo, np.int64)[order], np.maximum.accumulate(np.asarray(hi, np.int64)[order] + length)
+    head = np.ones(len(lo), bool)
+    head[1:] = lo[1:] > end[:-1]
+    return lo[head], end[np.append(head[1:], True)] if len(lo) else end
+
+
+def _runs_of(column: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of each row's runs as arrays, a row at a time; a null list has none."""
+    flat = column.flatten()
+    fields = {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(flat.type, flat.flatten(), strict=True)}
+    end = np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+    for a, b in zip(np.append(0, end[:-1]), end, strict=True):
+        yield {name: x[a:b] for name, x in fields.items()}
+
+
+def _kept(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+    """What the spans leave of the bytes, in order."""
+    view, at = memoryview(raw), 0
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        yield view[at:a]
+        at = b
+    yield view[at:]
+
+
+def _to_characters(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans shrunk to whole characters of UTF-8; those that hold none are gone."""
+    inner = np.append((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80, False)
+    begins, ends = begins.copy(), ends.copy()
+    # a character has at most three bytes after its first
+    for _ in range(3):
+        begins += inner[begins]
+        ends -= inner[ends]
+    some = begins < ends
+    return begins[some], ends[some]
 
 
 def _digest(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, count, sha = [], [], [], []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                cut = merged([r["lo"] for r in runs or []], [r["hi"] for r in runs or []], length)
-                digest, at = hashlib.sha256(), 0
-                for a, b in cut:
-                    digest.update(raw[at:a])
-                    at = b
-                digest.update(raw[at:])
+            for text, runs in zip(batch.column(1), _runs_of(batch.column(2)), strict=True):
+                raw = text.as_buffer() or b""
+                begins, ends = merged(runs["lo"], runs["hi"], length)
+                digest = hashlib.sha256()
+                for part in _kept(raw, begins, ends):
+                    digest.update(part)
                 n.append(len(raw))
-                removed.append(sum(b - a for a, b in cut))
-                count.append(len(cut))
+                removed.append(int((ends - begins).sum()))
+                count.append(len(begins))
                 sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([ids_of(batch), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
 
+def _without(names: list[str], spans_of: Callable[[bytes, dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]):
+    """Rows with the columns ``names`` and last their runs, to rows whose text is without the spans that ``spans_of`` makes of a text and its runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            out = []
+            for text, runs in zip(batch.column(at), _runs_of(batch.column(batch.num_columns - 1)), strict=True):
+                if len(runs["lo"]):
+                    raw = text.as_buffer().to_pybytes()
+                    out.append(b"".join(_kept(raw, *_to_characters(raw, *spans_of(raw, runs)))).decode())
+                else:
+                    out.append(text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))], schema=pa.schema([batch.schema.field(k) for k in range(len(names))]))
+
+    return run
+
+
 def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The digest that query op8 returns: one row per row of ``docs`` (doc_id, text).
 
@@ -331,27 +375,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     rows = keyed(docs, "_key")
     runs = spans(rows.select(F.col("_key").alias("key"), "text"), length=length, gram=gram)
     per = runs.groupBy(F.col("key").alias("_key2")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            out = []
-            for text, cut in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if cut:
-                    raw, kept, here = text.encode(), [], 0
-                    for a, b in merged([r["lo"] for r in cut], [r["hi"] for r in cut], length):
-                        while a < len(raw) and raw[a] & 0xC0 == 0x80:
-                            a += 1
-                        while b < len(raw) and raw[b] & 0xC0 == 0x80:
-                            b -= 1
-                        kept.append(raw[here:a])
-                        here = b
-                    text = b"".join([*kept, raw[here:]]).decode()
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))], schema=pa.schema([batch.schema.field(k) for k in range(len(names))]))
-
     joined = left_by_key(rows, "_key", stored(per, "runs"), "_key2").select(*names, "_runs")
-    out = joined.mapInArrow(lean(run), docs.schema)
+    out = joined.mapInArrow(lean(_without(names, lambda raw, found: merged(found["lo"], found["hi"], length))), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
@@ -403,23 +428,18 @@ def _not_wordy(words: int, length: int):
     return run
 
 
-def passages(text: str, runs: list[dict], words: int, length: int) -> list[tuple[int, int]]:
-    """Byte spans of whole characters that the runs of a text cover; runs are of starts in bytes, or in the codes of words."""
-    raw = text.encode()
-    found = [x for x in runs if x["coded"]]
-    spans = merged([r["lo"] for r in runs if not r["coded"]], [r["hi"] for r in runs if not r["coded"]], length)
-    if found:
-        starts, ends, _ = word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        whole = [(a, b) for a, b in ((-(-r["lo"] // CODE), r["hi"] // CODE) for r in found) if a <= b]
-        spans += [(int(starts[a]), int(ends[b - 1])) for a, b in merged([a for a, _ in whole], [b for _, b in whole], words)]
-    out = []
-    for a, b in merged([a for a, _ in spans], [b for _, b in spans], 0):
-        while a < len(raw) and raw[a] & 0xC0 == 0x80:
-            a += 1
-        while b < len(raw) and raw[b] & 0xC0 == 0x80:
-            b -= 1
-        out.append((a, b))
-    return out
+def passages(raw: bytes, runs: dict[str, np.ndarray], words: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the byte spans that the runs of a text cover; runs are of starts in bytes, or where ``coded`` in the codes of words."""
+    coded = runs["coded"].astype(bool)
+    begins, ends = merged(runs["lo"][~coded], runs["hi"][~coded], length)
+    # starts of whole words: the first at or after lo, the last at or before hi
+    first, last = -(-runs["lo"][coded].astype(np.int64) // CODE), runs["hi"][coded].astype(np.int64) // CODE
+    whole = first <= last
+    if whole.any():
+        begin, end, _ = word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        a, b = merged(first[whole], last[whole], words)
+        begins, ends = merged(np.append(begins, begin[a]), np.append(ends, end[b - 1]), 0)
+    return begins, ends
 
 
 def remove_passages(docs: DataFrame, *, words: int = WORDS, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -436,21 +456,6 @@ def remove_passages(docs: DataFrame, *, words: int = WORDS, length: int = LENGTH
     plain = spans(keyed_rows, length=length, gram=gram, view=_not_wordy(words, length))
     runs = coded.withColumn("coded", F.lit(True)).union(plain.withColumn("coded", F.lit(False)))
     per = runs.groupBy(F.col("key").alias("_key2")).agg(F.collect_list(F.struct("coded", "lo", "hi")).alias("_runs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            out = []
-            for text, cut in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if cut:
-                    raw, kept, here = text.encode(), [], 0
-                    for a, b in passages(text, cut, words, length):
-                        kept.append(raw[here:a])
-                        here = max(a, b)
-                    text = b"".join([*kept, raw[here:]]).decode()
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))], schema=pa.schema([batch.schema.field(k) for k in range(len(names))]))
-
     joined = left_by_key(rows, "_key", stored(per, "runs"), "_key2").select(*names, "_runs")
-    out = joined.mapInArrow(lean(run), docs.schema)
+    out = joined.mapInArrow(lean(_without(names, lambda raw, found: passages(raw, found, words, length))), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
