@@ -22,6 +22,7 @@ from tracelore.operators import modelling as M
 from tracelore.operators import parsing as P
 from tracelore.operators import relational as R
 from tracelore.operators import sequences as S
+from tracelore.operators import shapelets
 from tracelore.plans.expected import BOXED, CHOSEN, CONFIDENCES, EQUIVALENT, JUDGED, MARKED, NORMALIZED, SCORED, SEGMENTS, SEVEN, SIX, STATED
 from tracelore.sources import records
 
@@ -224,3 +225,19 @@ def test_archives(spark, tmp_path):
     np.savez(steps / "math_qwen.npz", item_ids=np.array(["x", "y"]), is_correct=np.array([0, 1]), offsets=np.array([0, 1, 3]), embeddings=np.ones((3, 4)))
     out = npz.by_dimension(npz.read_steps(spark, str(steps))).first()
     assert (out["group"], out["dimension"], out["n_items"], out["n_steps"]) == ("math_qwen", 4, 2, 3)
+
+
+def test_aligned_distances_of_all_classes_without_a_join(spark):
+    traces = [(1, 0, "FVBFV"), (2, 0, "FV"), (3, 1, "CCCFV"), (4, -1, "FVBBB" * 600), (5, None, "HHH")]
+    s = spark.createDataFrame(traces, "item_id long, y long, seq string")
+    got = shapelets.aligned(s, shapelets.candidates(s, by=("y",)))
+    grams = {y: {q[i : i + k] for _, z, q in traces if z == y for k in shapelets.LENGTHS for i in range(len(q) - k + 1)} for y in (0, 1, -1, None)}
+    names = set().union(*grams.values())
+
+    def dist(y, q, g):
+        ways = [sum(a != b for a, b in zip(q[i : i + len(g)], g, strict=True)) for i in range(len(q) - len(g) + 1)]
+        return min(ways) / len(g) if ways and y is not None and g in grams[y] else 1.0
+
+    want = sorted((i, len(g), g, dist(y, q, g)) for i, y, q in traces for g in names)
+    assert sorted((r["item_id"], r["k"], r["gram"], r["dist"]) for r in got.collect()) == want
+    assert "Join" not in got._jdf.queryExecution().toString()
