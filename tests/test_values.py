@@ -23,6 +23,7 @@ from tracelore.operators import parsing as P
 from tracelore.operators import relational as R
 from tracelore.operators import sequences as S
 from tracelore.operators import shapelets
+from tracelore.plans import storage
 from tracelore.plans.expected import BOXED, CHOSEN, CONFIDENCES, EQUIVALENT, JUDGED, MARKED, NORMALIZED, SCORED, SEGMENTS, SEVEN, SIX, STATED
 from tracelore.sources import records
 
@@ -241,3 +242,17 @@ def test_aligned_distances_of_all_classes_without_a_join(spark):
     want = sorted((i, len(g), g, dist(y, q, g)) for i, y, q in traces for g in names)
     assert sorted((r["item_id"], r["k"], r["gram"], r["dist"]) for r in got.collect()) == want
     assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_tfidf_of_all_folds_is_that_of_each_fold(spark):
+    texts = [f"{'good fine' if i % 2 else 'poor weak'} word{i % 3} twice twice only{i} {'rare' + str(i % 7)}" for i in range(24)]
+    rows = spark.createDataFrame([(i, "a", i % 2, i // 2 % 2, t) for i, t in enumerate(texts)], "item_id long, grp string, y int, fold int, text string").cache()
+    want = {r["item_id"]: r["p"] for k in range(2) for r in M.probabilities(M.tfidf(rows.where(f"fold <> {k}")), rows.where(f"fold = {k}"), [], ["item_id"]).collect()}
+    got = {r["item_id"]: r["p"] for r in M.tfidf_out_of_fold(rows, storage.stored, folds=2).collect()}
+    assert got == pytest.approx(want, abs=1e-4) and len(got) == 24
+
+
+def test_vocabularies_of_folds(spark):
+    rows = spark.createDataFrame([(1, 0, ["a", "a", "b"]), (2, 0, ["a", "c"]), (3, 1, ["d", "d", "d", "b", "c"]), (4, 1, ["c", "b"])], "item_id long, fold int, terms array<string>")
+    assert M.fold_vocabularies(rows, 2, 9) == [["b", "c"], ["a"]]
+    assert M.fold_vocabularies(rows, 2, 1) == [["b"], ["a"]]

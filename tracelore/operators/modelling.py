@@ -9,11 +9,11 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, Imputer, NGram, Normalizer, RegexTokenizer, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Imputer, NGram, Normalizer, RegexTokenizer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelore.operators import evaluation as E
@@ -161,6 +161,51 @@ def tfidf(train: DataFrame, text: str = "text", vocabulary: int = 20_000, min_df
     return _Text(lambda d: model.transform(unit.transform(idf.transform(rows_with_damped(counts.transform(terms(d, text)))))))
 
 
+def fold_vocabularies(rows: DataFrame, folds: int, size: int) -> list[list[str]]:
+    """Of each fold, the most frequent terms of the rows outside it that stand in two of these at least; ties by term. ``rows`` have item_id, fold and terms.
+
+    All folds are counted in one pass; a term is in two rows where its least and greatest item_id differ.
+    """
+    inside = lambda k, x: F.when(F.col("fold") == k, x)
+    counts = rows.select("fold", "item_id", F.explode("terms").alias("term")).groupBy("term").agg(
+        *[f for k in range(folds) for f in (F.count(inside(k, F.lit(1))).alias(f"n{k}"), F.min(inside(k, F.col("item_id"))).alias(f"lo{k}"), F.max(inside(k, F.col("item_id"))).alias(f"hi{k}"))]
+    )
+    others = [[j for j in range(folds) if j != k] for k in range(folds)]
+    ends = [(reduce(F.least, [F.col(f"lo{j}") for j in js]), reduce(F.greatest, [F.col(f"hi{j}") for j in js])) for js in others]
+    places = [F.struct((-sum((F.col(f"n{j}") for j in js), F.lit(0))).alias("n"), "term") for js in others]
+    # per fold a top-k that is taken per task first
+    tops = counts.select("term", F.explode(F.array(*[F.when(lo != hi, F.struct(F.lit(k).alias("k"), p.alias("p"))) for k, ((lo, hi), p) in enumerate(zip(ends, places, strict=True))])).alias("t")).where("t IS NOT NULL")
+    ranked = tops.select("t.k", "t.p").withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("p"))).where(F.col("rank") <= size)
+    found: list[list[str]] = [[] for _ in range(folds)]
+    for r in ranked.select("k", "rank", "p.term").orderBy("k", "rank").collect():
+        found[r["k"]].append(r["term"])
+    return found
+
+
+def tfidf_out_of_fold(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame], text: str = "text", folds: int = 5, vocabulary: int = 20_000, c: float = 1.0) -> DataFrame:
+    """(item_id, grp, y, p): every row's chance from a ``tfidf`` that did not see its fold; ``rows`` have fold, ``keep`` stores rows under a name.
+
+    Texts are read twice: for the folds' vocabularies, and for damped counts over their union. In a fold's model terms outside its own
+    vocabulary weigh nothing, which is the model that ``tfidf`` fits on the fold's own vocabulary.
+    """
+    counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2)
+    worded = terms(rows, text).select("item_id", "grp", "y", "fold", "terms")
+    own = fold_vocabularies(worded, folds, counter.getVocabSize())
+    union = sorted(set().union(*own))
+    counts = CountVectorizerModel.from_vocabulary(union or [""], inputCol="terms", outputCol="tf")
+    vectors = keep(rows_with_damped(counts.transform(worded).drop("terms")).drop("tf"), "tfidf-counts")
+    parts = []
+    for k in range(folds):
+        train, words = balanced(vectors.where(F.col("fold") != k)), set(own[k])
+        idf = IDF(inputCol="damped", outputCol="weighted").fit(train)
+        scale = ElementwiseProduct(inputCol="damped", outputCol="weighted", scalingVec=Vectors.dense([v if t in words else 0.0 for t, v in zip(union or [""], idf.idf.toArray(), strict=True)]))
+        unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
+        total = float(train.agg(F.sum("weight")).first()[0] or 1.0)
+        model = classifier("lr", c=c, total_weight=total).fit(unit.transform(scale.transform(train)))
+        parts.append(probabilities(model, unit.transform(scale.transform(vectors.where(F.col("fold") == k))), [], ["item_id", "grp", "y"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 class _Text:
     """A fitted text model; ``transform`` as any."""
 

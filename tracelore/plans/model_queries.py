@@ -56,9 +56,10 @@ def transfer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tfidf_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = stored(labelled(spark, sf_dir).select("item_id", "grp", "y", "fold").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id"), "labelled-texts")
-    parts = [M.probabilities(M.tfidf(d.where(F.col("fold") != k)), d.where(F.col("fold") == k), [], ["item_id", "grp", "y"]) for k in range(5)]
-    return reduce(DataFrame.unionByName, parts)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("grp"), "text")
+    y = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("y"))
+    folds = E.stratified_folds(d.select("item_id", "grp").join(y, "item_id"), ["grp", "y"], "item_id")
+    return M.tfidf_out_of_fold(stored(folds.join(d.select("item_id", "text"), "item_id"), "labelled-texts"), stored)
 
 
 @query()
