@@ -485,6 +485,21 @@ def test_repeated_passages_by_words(spark, monkeypatch, hot):
     assert [WORD.findall(got[i] or "") for i in range(len(texts))] == brute_passages(texts, 51)
 
 
+def test_passages_at_the_length(spark):
+    """Of passages of 57 words op8 takes those of 400 bytes and leaves those of 399; the pipeline's stage goes by words and takes both."""
+    rng = np.random.default_rng(13)
+    texts = {}
+    for n in (399, 400):
+        passage = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(57)).ljust(n, "h")
+        texts |= {n: f"one two x{passage}x three", n + 10: f"four y{passage}y five"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.repeat_report(rows).collect()}
+    assert got == {i: (len(t), 400, 1) if i in (400, 410) else (len(t), 0, 0) for i, t in texts.items()}
+    # the first and last word of a passage are others in each text
+    kept = {r["doc_id"]: len(r["text"].split()) for r in corpus_pipeline.drop_repeats(spark, rows, SF).collect()}
+    assert kept == {399: 5, 400: 5, 409: 4, 410: 4}
+
+
 def test_repeated_passages_of_few_long_words(spark):
     rng = np.random.default_rng(12)
     passage = " ".join("".join(rng.choice(list("abcdefgh"), 30)) for _ in range(20))
