@@ -23,6 +23,7 @@ from tracelore.operators import parsing as P
 from tracelore.operators import relational as R
 from tracelore.operators import sequences as S
 from tracelore.operators import shapelets
+from tracelore.operators import trajectory as T
 from tracelore.plans import storage
 from tracelore.plans.expected import BOXED, CHOSEN, CONFIDENCES, EQUIVALENT, JUDGED, MARKED, NORMALIZED, SCORED, SEGMENTS, SEVEN, SIX, STATED
 from tracelore.sources import records
@@ -256,3 +257,17 @@ def test_vocabularies_of_folds(spark):
     rows = spark.createDataFrame([(1, 0, ["a", "a", "b"]), (2, 0, ["a", "c"]), (3, 1, ["d", "d", "d", "b", "c"]), (4, 1, ["c", "b"])], "item_id long, fold int, terms array<string>")
     assert M.fold_vocabularies(rows, 2, 9) == [["b", "c"], ["a"]]
     assert M.fold_vocabularies(rows, 2, 1) == [["b"], ["a"]]
+
+
+def test_first_of_equal_windows_whatever_the_order_of_values(spark):
+    """Sums of doubles differ by the order of equal values; of equal stretches the first is returned. NaN and infinity stay in their windows."""
+    one = [0.3, 0.2, 0.1, 0.0, 0.0, 0.1, 0.2, 0.3]
+    two = [0.1, 0.3, 0.2, 0.0, math.inf, 0.0, 0.0, 0.0]
+    three = [math.nan, 0.3, 0.2, 0.1, 0.0, 0.1, 0.2, 0.3]
+    rows = [(k, t, -x, x) for k, values in enumerate((one, two, three)) for t, x in enumerate(values)]
+    tokens = spark.createDataFrame(rows, "item_id int, t long, logprob double, entropy double")
+    got = {r["item_id"]: r for r in T.bursts(tokens, window=3, smooth=3).collect()}
+    assert 0.3 + 0.2 + 0.1 < 0.1 + 0.2 + 0.3 and got[0]["max_window_pos"] == got[0]["entropy_peak_pos"] == 0.0
+    assert got[0]["max_window_nll"] == pytest.approx(0.2) and got[0]["entropy_collapse"] == pytest.approx(0.2 - 0.1 / 3)
+    assert got[1]["max_window_nll"] == math.inf and got[1]["max_window_pos"] == pytest.approx(2 / 5)
+    assert math.isnan(got[2]["max_window_nll"]) and got[2]["max_window_pos"] == pytest.approx(1 / 5)

@@ -37,15 +37,33 @@ def spans(tokens: DataFrame, marks: DataFrame) -> DataFrame:
     return tokens.join(marks, "item_id").where((F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi"))).groupBy("item_id", "name").agg(F.avg(nll).alias("mean_nll"), F.max(nll).alias("max_nll"))
 
 
+def _rolling(rows: DataFrame, means: dict[str, tuple[str, int]]) -> DataFrame:
+    """``rows`` with means, by name (value, number of last steps) of each, that are equal for the same values in any order.
+
+    They come from differences of a trace's running sums in decimals; where a value fits none, from doubles.
+    """
+    w = Window.partitionBy("item_id").orderBy("t")
+    run, zero = w.rowsBetween(Window.unboundedPreceding, 0), F.lit(0).cast("decimal(38,24)")
+    first, then, out = {}, {}, {}
+    for name, (value, size) in means.items():
+        exact = F.col(value).try_cast("decimal(38,24)")
+        first |= {f"_{name}_sum": F.try_sum(F.coalesce(exact, zero)).over(run), f"_{name}_fit": F.count(exact).over(run), f"_{name}_all": F.count(value).over(run), f"_{name}_avg": F.avg(value).over(w.rowsBetween(1 - size, 0))}
+        then |= {c: F.try_subtract(F.col(c), F.coalesce(F.lag(c, size).over(w), F.lit(0))) for c in (f"_{name}_sum", f"_{name}_fit", f"_{name}_all")}
+        total, fit, n, avg = (F.col(f"_{name}_{c}") for c in ("sum", "fit", "all", "avg"))
+        out[name] = F.when(fit == n, F.coalesce(total.cast("double") / F.nullif(n, F.lit(0)), avg)).otherwise(avg)
+    return rows.withColumns(first).withColumns(then).withColumns(out).drop(*first)
+
+
 def bursts(tokens: DataFrame, window: int = 50, smooth: int = 20, spike: float = 8.0) -> DataFrame:
-    """Worst stretch of surprise and its place, spikes and their share in the last fifth, and the largest fall of smoothed entropy."""
+    """Worst stretch of surprise and its place, spikes and their share in the last fifth, and the largest fall of smoothed entropy.
+
+    Of stretches with equal means the first counts, whatever the order of the values in them.
+    """
     w = Window.partitionBy("item_id").orderBy("t")
     n = F.count("*").over(Window.partitionBy("item_id"))
     s = tokens.withColumns({"n": n, "nll": -F.col("logprob")})
-    s = s.withColumns({
-        "roll": F.when((F.col("t") >= window - 1) & (F.col("n") >= window), F.avg("nll").over(w.rowsBetween(1 - window, 0))),
-        "soft": F.when((F.col("t") >= smooth - 1) & (F.col("n") >= smooth), F.avg("entropy").over(w.rowsBetween(1 - smooth, 0))),
-    })
+    s = _rolling(s, {"roll": ("nll", window), "soft": ("entropy", smooth)})
+    s = s.withColumns({c: F.when((F.col("t") >= k - 1) & (F.col("n") >= k), F.col(c)) for c, k in (("roll", window), ("soft", smooth))})
     s = s.withColumn("fall", F.max("soft").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("soft"))
     hot = F.col("nll") > spike
     out = s.groupBy("item_id").agg(
