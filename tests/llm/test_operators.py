@@ -500,6 +500,36 @@ def test_passages_at_the_length(spark):
     assert kept == {399: 5, 400: 5, 409: 4, 410: 4}
 
 
+def test_op8_tells_of_passages_under_its_bytes(spark, tmp_path):
+    """Passages of over 50 words that are under 400 bytes are told in columns of their own, and stay in the text."""
+    rng = np.random.default_rng(17)
+    make = lambda n: " ".join(str(rng.integers(100, 1000)) for _ in range(n))
+    short, passage = make(50), make(51)
+    texts = [f"{make(30)} {passage} {make(40)}", f"{make(20)} {passage}", f"{make(30)} {short} {make(9)}", f"{short} {make(9)}", make(200), "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["n_passages"], r["passage_bytes"]) for r in queries.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {k: (0, 1, len(passage)) if k < 2 else (0, 0, 0) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("hot", [256, 2])
+def test_repeats_with_passages(spark, monkeypatch, hot):
+    """Looking for bytes in fewer texts changes nothing of what is found, be words short, long, or cut by the string."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(18)
+    texts = []
+    for letters in ("ab ", "abcdefgé   ", "abcdefghijkl ", "abcdefghijklmnopqrstuvwxyz \n"):
+        make = lambda n, letters=letters: "".join(rng.choice(list(letters), n))
+        for n in (38, 39, 40, 41, 60, 130):
+            passage = make(n)
+            texts += [make(int(rng.integers(0, 150))) + passage + make(int(rng.integers(0, 150))) for _ in range(3)]
+    texts += [texts[5], None, "", "z" * 90, "a " * 70]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeat_report(rows, length=40, gram=10, words=5).collect()}
+    assert [got[i][:4] for i in range(len(texts))] == brute_repeats(texts, 40)
+    left = brute_passages(texts, 5)
+    assert [got[i][4] > 0 for i in range(len(texts))] == [len(left[i]) < len(WORD.findall(t or "")) for i, t in enumerate(texts)]
+
+
 def test_repeated_passages_of_few_long_words(spark):
     rng = np.random.default_rng(12)
     passage = " ".join("".join(rng.choice(list("abcdefgh"), 30)) for _ in range(20))

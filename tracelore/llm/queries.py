@@ -37,7 +37,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"), words=suffix_dedup.WORDS)
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracelore.llm import textkit
 from tracelore.llm.suffix_array import longest_shared, suffix_array
-from tracelore.llm.textkit import chunks, drop_stored, ids_of, join_sizes, lean, left_by_key, likely_in, mix, prefix_hash, shuffle_width, span_hash, stored, word_bounds, word_hashes
+from tracelore.llm.textkit import chunks, drop_stored, ids_of, join_sizes, lean, left_by_key, likely_in, marked_in, mix, prefix_hash, shuffle_width, span_hash, stored, word_bounds, word_hashes
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 400, 100
@@ -200,13 +200,14 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, view: View
     """(key, lo, hi): runs of starts whose strings repeat.
 
     ``docs`` has key and text; rows with equal keys hold equal rows, each its own document.
-    ``view`` turns batches of (key, text) to the texts that are compared, in the worker that
-    reads them: runs are then of its texts.
+    ``view`` turns batches of ``docs`` to (key, text) with the texts that are compared, in the
+    worker that reads them: runs are then of its texts.
     """
     spark = docs.sparkSession
+    docs = docs.select("key", "text", *([] if view is None else [c for c in docs.columns if c not in ("key", "text")]))
     width = shuffle_width(spark)
     cuts = _cut(length, gram)
-    cut = stored(docs.select("key", "text").mapInArrow(lean(cuts if view is None else lambda batches: cuts(view(batches))), SEGMENTS), "segments")
+    cut = stored(docs.mapInArrow(lean(cuts if view is None else lambda batches: cuts(view(batches))), SEGMENTS), "segments")
     real = cut.where("n > 0")
     kinds = stored(real.groupBy("h", "seg").agg(F.sum("n").alias("c"), F.min(F.struct("key", "lo", "hi")).alias("at")), "kinds")
     anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum((F.col("c") == 1).cast("long")).alias("singles"))
@@ -216,7 +217,7 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, view: View
     # the texts that matter further on: those with an open or a repeated segment
     wanted = open_.select("key").union(whole.select("key")).distinct()
     wanted = stored(wanted, "wanted")
-    texts = likely_in(docs.select("key", "text"), "key", wanted).join(wanted, "key").dropDuplicates(["key"])
+    texts = likely_in(docs, "key", wanted).join(wanted, "key").dropDuplicates(["key"])
     texts = stored(texts if view is None else texts.mapInArrow(lean(view), "key binary, text string"), "texts")
     piece = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
     pieces = open_.join(texts, "key").select("h", "key", "lo", "hi", "single", "kinds", piece.alias("piece"))
@@ -295,6 +296,10 @@ def _runs_of(column: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
         yield {name: x[a:b] for name, x in fields.items()}
 
 
+REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+PASSAGES = ", n_passages long, passage_bytes long"
+
+
 def _kept(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
     """What the spans leave of the bytes, in order."""
     view, at = memoryview(raw), 0
@@ -316,13 +321,19 @@ def _to_characters(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np
     return begins[some], ends[some]
 
 
-def _digest(length: int):
+def _digest(length: int, words: int | None):
+    """Rows (doc_id, text, runs) to the columns of REPORT, and of PASSAGES where ``words`` is given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, count, sha = [], [], [], []
+            n, removed, count, sha, many, size = [], [], [], [], [], []
             for text, runs in zip(batch.column(1), _runs_of(batch.column(2)), strict=True):
                 raw = text.as_buffer() or b""
-                begins, ends = merged(runs["lo"], runs["hi"], length)
+                coded = runs["coded"].astype(bool)
+                begins, ends = passages(raw, {c: x[coded] for c, x in runs.items()}, words or 0, length)
+                many.append(len(begins))
+                size.append(int((ends - begins).sum()))
+                begins, ends = merged(runs["lo"][~coded], runs["hi"][~coded], length)
                 digest = hashlib.sha256()
                 for part in _kept(raw, begins, ends):
                     digest.update(part)
@@ -330,7 +341,9 @@ def _digest(length: int):
                 removed.append(int((ends - begins).sum()))
                 count.append(len(begins))
                 sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([ids_of(batch), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            columns = [ids_of(batch), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha, pa.string()), *(pa.array(x, pa.int64()) for x in (many, size))]
+            names = [f.split()[0] for f in (REPORT + PASSAGES).split(", ")]
+            yield pa.RecordBatch.from_arrays(columns, names) if words else pa.RecordBatch.from_arrays(columns[:5], names[:5])
 
     return run
 
@@ -353,17 +366,28 @@ def _without(names: list[str], spans_of: Callable[[bytes, dict[str, np.ndarray]]
     return run
 
 
-def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """The digest that query op8 returns: one row per row of ``docs`` (doc_id, text).
 
     A null text is empty. Texts under ``length`` bytes lose nothing. Equal rows are
     documents of their own, so all of their strings repeat.
+
+    With ``words`` two columns follow: the runs of so many words that stand anywhere else as
+    well, joined where they touch, and their bytes. They are told only, however short, and
+    count for nothing in the columns before. Then strings of bytes are looked for in fewer
+    texts: one that holds ``words`` whole words makes such a run in every text that it is in,
+    and the others are in texts that are not ``wordy``.
     """
     rows = keyed(docs.select("doc_id", "text"))
-    runs = spans(rows.select("key", "text"), length=length, gram=gram)
-    per = runs.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    texts = rows.select("key", "text")
+    if words:
+        coded = spans(texts, length=CODE * words, gram=CODE * max(1, words // 4), view=_as_codes)
+        runs = spans(marked_in(texts, "key", coded.select("key"), "likely"), length=length, gram=gram, view=_may_repeat(words, length)).withColumn("coded", F.lit(False)).union(coded.withColumn("coded", F.lit(True)))
+    else:
+        runs = spans(texts, length=length, gram=gram).withColumn("coded", F.lit(False))
+    per = runs.groupBy("key").agg(F.collect_list(F.struct("coded", "lo", "hi")).alias("runs"))
     per = stored(per, "runs")
-    return left_by_key(rows, "key", per.withColumnRenamed("key", "_k"), "_k").select("doc_id", "text", "runs").mapInArrow(lean(_digest(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return left_by_key(rows, "key", per.withColumnRenamed("key", "_k"), "_k").select("doc_id", "text", "runs").mapInArrow(lean(_digest(length, words)), REPORT + (PASSAGES if words else ""))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -417,6 +441,20 @@ def wordy(data: np.ndarray, offsets: np.ndarray, words: int, length: int) -> np.
     return out
 
 
+def _may_repeat(words: int, length: int):
+    """The rows (key, text, likely) that are likely or whose texts are not ``wordy``, as (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            likely = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            rest = batch.filter(pa.array(~likely)).column(1)
+            parts = [wordy(data, offsets, words, length) for _, _, data, offsets in chunks(rest, CUT_BYTES)]
+            likely[~likely] = ~np.concatenate(parts) if parts else np.zeros(0, bool)
+            yield batch.select(["key", "text"]).filter(pa.array(likely))
+
+    return run
+
+
 def _not_wordy(words: int, length: int):
     """The rows (key, text) whose texts are not ``wordy``."""
 

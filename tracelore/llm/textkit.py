@@ -102,6 +102,12 @@ def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(used), _slot(rows, key) == F.col("_slot"), "left_semi")
 
 
+def marked_in(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: true where the key is in ``keys``, and in the same slots' other rows; nothing is shuffled but slots."""
+    used = keys.select(_slot(keys, keys.columns[0]).alias("_slot")).distinct().withColumn("_in", F.lit(True))
+    return rows.withColumn("_at", _slot(rows, key)).join(F.broadcast(used), F.col("_at") == F.col("_slot"), "left").withColumn(name, F.col("_in").isNotNull()).drop("_at", "_slot", "_in")
+
+
 def left_by_key(rows: DataFrame, key: str, found: DataFrame, other: str) -> DataFrame:
     """``rows`` with the columns of ``found`` whose ``other`` equals ``key``, null where there is none.
 
