@@ -530,6 +530,36 @@ def test_repeats_with_passages(spark, monkeypatch, hot):
     assert [got[i][4] > 0 for i in range(len(texts))] == [len(left[i]) < len(WORD.findall(t or "")) for i, t in enumerate(texts)]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([1, 5, 2000]), min_size=1, max_size=40), st.integers(1, 3))
+def test_suffix_array_of_names(names, times):
+    t = np.array(names * times, np.int32)
+    sa = suffix_array.suffix_array(t, 2001)
+    assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    common = lambda i, j: next((k for k in range(len(t)) if i + k >= len(t) or j + k >= len(t) or t[i + k] != t[j + k]), len(t))
+    assert suffix_array.longest_shared(t, sa).tolist() == [max((common(i, j) for j in range(len(t)) if j != i), default=0) for i in range(len(t))]
+
+
+def test_words_are_letters_of_their_suffix_arrays(monkeypatch):
+    """A shard of codes has a suffix for each word, not for each byte of its code, and finds what the bytes have at whole words."""
+    rng = np.random.default_rng(19)
+    code, words = suffix_dedup.CODE, 5
+    sizes = []
+    sort = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t, sigma=256: sizes.append(len(t)) or sort(t, sigma))
+    texts = [" ".join(rng.choice(["a", "bc", "def"], 40)) for _ in range(20)]
+    coded = [r for b in suffix_dedup._as_codes(iter([pa.record_batch([pa.array([b"k"] * len(texts)), pa.array(texts)], ["key", "text"])])) for r in b.column(1).to_pylist()]
+    pieces, singles = [c.encode() for c in coded], np.arange(len(texts)) % 4 > 0
+    plain = suffix_dedup.shard_starts(pieces, singles, code * words)
+    batch = pa.record_batch([pa.array(np.ones(len(pieces), np.int64)), pa.array([b"%d" % k for k in range(len(pieces))]), pa.array(np.zeros(len(pieces), np.int32)), pa.array(singles), pa.array(pieces)], ["h", "key", "lo", "single", "piece"])
+    found = {k: set() for k in range(len(pieces))}
+    for b in suffix_dedup._sort_shards(code * words, code)(iter([batch])):
+        for key, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found[int(key)] |= set(range(first, last + 1, code))
+    assert found == {k: {i for i in x.tolist() if i % code == 0} for k, x in enumerate(plain)}
+    assert any(found.values()) and sizes == [sum(len(p) + 1 for p in pieces), sum(len(p) // code + 1 for p in pieces)]
+
+
 def test_repeated_passages_of_few_long_words(spark):
     rng = np.random.default_rng(12)
     passage = " ".join("".join(rng.choice(list("abcdefgh"), 30)) for _ in range(20))

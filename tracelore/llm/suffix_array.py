@@ -87,24 +87,33 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
 
 
 def _by_doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix order of a string over many names, by ranks of doubling lengths."""
+    """Suffix order of a string over many names, by ranks of doubling lengths; only suffixes that are still equal to others are sorted on."""
     n = len(t)
-    _, rank = np.unique(t, return_inverse=True)
-    rank = rank.ravel().astype(np.int64) + 1
-    step = 1
+    key = t.astype(np.int64) * (int(t.max()) + 2) + np.append(t[1:] + 1, 0)
+    order = np.argsort(key)
+    key = key[order]
+    # the place of the first of its equals is a suffix's rank, and 0 is what follows the end
+    rank = np.zeros(n + 1, np.int64)
+    live, step = np.arange(n), 2
     while True:
-        key = rank * (n + 2)
-        key[: n - step] += rank[step:] if step < n else 0
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.cumsum(np.append(True, k[1:] != k[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n or step >= n:
+        head = np.append(True, key[1:] != key[:-1])
+        rank[order[live]] = live[np.maximum.accumulate(np.where(head, np.arange(len(live)), 0))] + 1
+        live = live[~(head & np.append(head[1:], True))]
+        if not len(live):
             return order
+        at = order[live]
+        key = rank[at] * (n + 1) + rank[np.minimum(at + step, n)]
+        by = np.argsort(key)
+        order[live], key = at[by], key[by]
         step *= 2
 
 
+def _packed(t: np.ndarray) -> tuple[np.ndarray, int]:
+    """The letters at each place and after it as one number, the first lowest, zeros after the end; and how many these are."""
+    padded = np.concatenate([t, np.zeros(8, t.dtype)])
+    return np.ndarray(len(t) + 1, "<u8", padded, strides=padded.strides), 8 // t.itemsize
+
+
 #: Alphabets up to this size are sorted by induction at every depth, larger ones by doubling.
 INDUCED = 1024
 
@@ -131,18 +140,18 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     same = size[a] == size[b]
     same &= (a != lms[-1]) & (b != lms[-1])
     live = np.flatnonzero(same)
+    packed, many = _packed(t)
     k = 0
     while len(live):
         x, y = a[live], b[live]
-        # one past the end of the shorter side is never read: sizes are equal
-        inside = size[x] > k
-        live = live[inside]
-        x, y = x[inside], y[inside]
-        equal = t[x + k] == t[y + k]
+        # of the letters read at once only those count that belong to both: sizes are equal
+        left = size[x] - k
+        over = np.maximum(many - left, 0).astype(np.uint64) * np.uint64(8 * t.itemsize)
+        equal = (packed[x + k] ^ packed[y + k]) << over == 0
         same[live[~equal]] = False
-        live = live[equal]
-        k += 1
-    name = np.empty(n, np.int64)
+        live = live[equal & (left > many)]
+        k += many
+    name = np.empty(n, np.int32)
     name[order] = np.cumsum(np.append(False, ~same))
     reduced = name[lms]
     top = int(reduced.max()) + 1
@@ -162,10 +171,7 @@ def longest_shared(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
         return np.zeros(n, np.int64)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    packed = np.zeros(n + 8, np.uint64)
-    padded = np.concatenate([t, np.zeros(16, t.dtype)]).astype(np.uint64)
-    for k in range(8):
-        packed |= padded[k : k + n + 8] << np.uint64(8 * k)
+    packed, many = _packed(t)
     i = np.arange(n)
     follows = np.zeros(n, bool)
     follows[1:] = (before[1:] > 0) & (before[:-1] >= 0) & (t[:-1] == t[np.maximum(before[1:] - 1, 0)])
@@ -177,12 +183,12 @@ def longest_shared(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
         limit = n - np.maximum(x, y)
         differ = packed[np.minimum(x, n)] ^ packed[np.minimum(y, n)]
         low = differ & (~differ + np.uint64(1))
-        same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
+        same = np.where(differ == 0, many, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // (8 * t.itemsize))
         same = np.minimum(same, limit)
         done = done + same
         plcp[live] = done
-        go = (same == 8) & (limit > 8)
-        live, done, x, y = live[go], done[go], x[go] + 8, y[go] + 8
+        go = (same == many) & (limit > many)
+        live, done, x, y = live[go], done[go], x[go] + many, y[go] + many
     head = np.maximum.accumulate(np.where(follows, 0, i))
     plcp = np.maximum(plcp[head] - (i - head), 0)
     plcp[before < 0] = 0

@@ -42,15 +42,34 @@ SLAB, CUT_BYTES = 1 << 20, 1 << 18
 _PLACE = 22
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, segment hash, document, first start, last start) of all segments of a chunk, starts from the text's begin."""
+def _letters(data: np.ndarray, step: int) -> np.ndarray:
+    """The letters of the data: its bytes, or where ``step`` is more, numbers of so many bytes, eight at most."""
+    if step == 1:
+        return data
+    out = np.zeros(len(data) // step, np.uint64)
+    for k in range(step):
+        out = (out << np.uint64(8)) | data[k::step]
+    return out
+
+
+def _grams(letters: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running hash of the letters, and the hash of each of their strings of ``gram`` letters."""
+    prefix = prefix_hash(letters)
+    _, down = textkit._powers(len(prefix))
+    return prefix, mix((prefix[gram:] - prefix[:-gram]) * down[: len(prefix) - gram])
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = 1) -> tuple[np.ndarray, ...]:
+    """(anchor hash, segment hash, document, first start, last start) of all segments of a chunk, starts from the text's begin.
+
+    Everything is in bytes; with ``step`` strings start at multiples of it only, and their letters have so many bytes.
+    """
     none = np.zeros(0, np.int64)
+    data, offsets, length, gram = _letters(data, step), offsets // step, length // step, gram // step
     n, width = len(data), length - gram + 1
     if n < length or np.diff(offsets).max(initial=0) < length:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    prefix = prefix_hash(data)
-    _, down = textkit._powers(n + 1)
-    grams = mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
+    prefix, grams = _grams(data, gram)
     bits = np.uint64(max(_PLACE, int(n).bit_length()))
     place = (np.uint64(1) << bits) - np.uint64(1)
     # the place is below the hash: the first of equal ones is least
@@ -66,24 +85,27 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     np.add.at(inside, offsets[:-1][some], 1)
     np.add.at(inside, (offsets[1:] - length + 1)[some], -1)
     start = np.flatnonzero(np.cumsum(inside)[: len(anchor)] > 0)
-    doc = np.searchsorted(offsets, start, side="right") - 1
     anchor = anchor[start]
-    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
+    # a segment ends with its text: the next one that is long enough starts at its first byte
+    opens = np.zeros(n, bool)
+    opens[offsets[:-1][some]] = True
+    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | opens[start[1:]]))
     last = np.append(first[1:], len(start)) - 1
-    lo, hi, doc = start[first], start[last], doc[first]
-    return grams[anchor[first]], span_hash(prefix, lo, hi + length), doc, lo - offsets[doc], hi - offsets[doc]
+    lo, hi = start[first], start[last]
+    doc = np.searchsorted(offsets, lo, side="right") - 1
+    return grams[anchor[first]], span_hash(prefix, lo, hi + length), doc, step * (lo - offsets[doc]), step * (hi - offsets[doc])
 
 
 SEGMENTS = "h long, seg long, n long, key binary, lo int, hi int, covered boolean"
 
 
-def _cut(length: int, gram: int):
+def _cut(length: int, gram: int, step: int):
     """Texts to segments; of segments that are equal within the batch the first counts for all, the others come out covered, joined where they touch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            parts = [(h, s, d + first, lo, hi) for first, _, data, offsets in chunks(batch.column(1), CUT_BYTES) for h, s, d, lo, hi in [segments(data, offsets, length, gram)]]
+            parts = [(h, s, d + first, lo, hi) for first, _, data, offsets in chunks(batch.column(1), CUT_BYTES) for h, s, d, lo, hi in [segments(data, offsets, length, gram, step)]]
             h, s, d, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
             if not len(h):
                 continue
@@ -95,7 +117,7 @@ def _cut(length: int, gram: int):
             rest = np.sort(order[~head])
             if len(rest):
                 # consecutive segments of a text in one row
-                joins = np.append(False, (d[rest][1:] == d[rest][:-1]) & (lo[rest][1:] == hi[rest][:-1] + 1))
+                joins = np.append(False, (d[rest][1:] == d[rest][:-1]) & (lo[rest][1:] == hi[rest][:-1] + step))
                 begin = np.flatnonzero(~joins)
                 end = np.append(begin[1:], len(rest)) - 1
                 zero = np.zeros(len(begin), np.int64)
@@ -108,12 +130,18 @@ def _segment_rows(h, s, n, key, lo, hi, covered) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(n.astype(np.int64)), key, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(covered)], [f.split()[0] for f in SEGMENTS.split(", ")])
 
 
-def shard_starts(pieces: list[bytes], singles: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each piece that is single, the starts whose string of ``length`` bytes begins elsewhere in the shard as well."""
-    size = np.array([len(p) for p in pieces], np.int64)
+def shard_starts(pieces: list[bytes], singles: np.ndarray, length: int = LENGTH, step: int = 1) -> list[np.ndarray]:
+    """For each piece that is single, the starts whose string of ``length`` bytes begins elsewhere in the shard as well; with ``step`` all counts are of letters of so many bytes."""
+    size = np.array([len(p) for p in pieces], np.int64) // step
+    length //= step
     # 0xFF is no byte of UTF-8, so no string reaches over the end of its piece
-    text = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)
-    shared = longest_shared(text, suffix_array(text))
+    end = b"\xff" * step
+    text = _letters(np.frombuffer(end.join(pieces) + end, np.uint8), step)
+    sigma = 256
+    if step > 1:
+        names, text = np.unique(text, return_inverse=True)
+        text, sigma = text.astype(np.int32), len(names)
+    shared = longest_shared(text, suffix_array(text, sigma))
     first = np.cumsum(size + 1) - size - 1
     return [np.flatnonzero(shared[first[k] : first[k] + size[k] - length + 1] >= length) if singles[k] else np.zeros(0, np.int64) for k in range(len(pieces))]
 
@@ -131,7 +159,7 @@ def _span_rows(key: list, lo: list, hi: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["key", "lo", "hi"])
 
 
-def _sort_shards(length: int):
+def _sort_shards(length: int, step: int):
     """Rows (h, key, lo, single, piece) in order of h to spans of repeated starts; anchors stay whole, slabs hold many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +168,11 @@ def _sort_shards(length: int):
 
         def done() -> pa.RecordBatch:
             out: tuple[list, list, list] = ([], [], [])
-            for (_, key, lo, _, _), starts in zip(held, shard_starts([r[4] for r in held], np.array([r[3] for r in held]), length), strict=True):
+            for (_, key, lo, _, _), starts in zip(held, shard_starts([r[4] for r in held], np.array([r[3] for r in held]), length, step), strict=True):
                 for a, b in zip(*_runs(starts), strict=True):
                     out[0].append(key)
-                    out[1].append(lo + int(a))
-                    out[2].append(lo + int(b))
+                    out[1].append(lo + step * int(a))
+                    out[2].append(lo + step * int(b))
             return _span_rows(*out)
 
         for batch in batches:
@@ -196,17 +224,18 @@ def _split_blocks(length: int, block: int):
 View = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, view: View | None = None) -> DataFrame:
+def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, step: int = 1, view: View | None = None) -> DataFrame:
     """(key, lo, hi): runs of starts whose strings repeat.
 
     ``docs`` has key and text; rows with equal keys hold equal rows, each its own document.
     ``view`` turns batches of ``docs`` to (key, text) with the texts that are compared, in the
-    worker that reads them: runs are then of its texts.
+    worker that reads them: runs are then of its texts. With ``step`` their letters have so
+    many bytes each, and only strings of whole letters are sure to be found.
     """
     spark = docs.sparkSession
     docs = docs.select("key", "text", *([] if view is None else [c for c in docs.columns if c not in ("key", "text")]))
     width = shuffle_width(spark)
-    cuts = _cut(length, gram)
+    cuts = _cut(length, gram, step)
     cut = stored(docs.mapInArrow(lean(cuts if view is None else lambda batches: cuts(view(batches))), SEGMENTS), "segments")
     real = cut.where("n > 0")
     kinds = stored(real.groupBy("h", "seg").agg(F.sum("n").alias("c"), F.min(F.struct("key", "lo", "hi")).alias("at")), "kinds")
@@ -223,21 +252,21 @@ def spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, view: View
     pieces = open_.join(texts, "key").select("h", "key", "lo", "hi", "single", "kinds", piece.alias("piece"))
     pieces = stored(pieces, "pieces")
     cool = pieces.where(F.col("kinds") <= HOT).select("h", "key", "lo", "single", "piece")
-    found = cool.repartition(width, "h").sortWithinPartitions("h").mapInArrow(lean(_sort_shards(length)), SPANS)
+    found = cool.repartition(width, "h").sortWithinPartitions("h").mapInArrow(lean(_sort_shards(length, step)), SPANS)
     hot = pieces.where(F.col("kinds") > HOT)
     found = stored(found, "found")
     if hot.limit(1).count():
-        found = found.union(_hot(hot, length, gram))
+        found = found.union(_hot(hot, length, gram, step))
     runs = stored(whole.union(found), "spans")
     for done in (cut, kinds, open_, whole, wanted, texts, pieces):
         drop_stored(done)
     return runs
 
 
-def _hot(hot: DataFrame, length: int, gram: int) -> DataFrame:
+def _hot(hot: DataFrame, length: int, gram: int, step: int) -> DataFrame:
     """Repeated starts of segments whose anchor has too many kinds for one shard, by blocks of falling size."""
     # the anchor's place is the same in equal strings: any fixed point of the segment that depends on its strings alone
-    hot = stored(hot.select("h", "key", F.col("lo").alias("base"), "hi", "piece").mapInArrow(lean(_find_anchor(length, gram)), "h long, key binary, base int, last int, anchor int, piece binary"), "hot")
+    hot = stored(hot.select("h", "key", F.col("lo").alias("base"), "hi", "piece").mapInArrow(lean(_find_anchor(length, gram, step)), "h long, key binary, base int, last int, anchor int, piece binary"), "hot")
     rows = hot.select("h", "key", "base", F.lit(0).alias("lo"), F.col("last").alias("hi"))
     found = []
     # a block's strings must share a core
@@ -252,20 +281,19 @@ def _hot(hot: DataFrame, length: int, gram: int) -> DataFrame:
     return reduce(DataFrame.union, found).select("key", (F.col("base") + F.col("lo")).cast("int").alias("lo"), (F.col("base") + F.col("hi")).cast("int").alias("hi"))
 
 
-def _find_anchor(length: int, gram: int):
+def _find_anchor(length: int, gram: int, step: int):
+    length, gram = length // step, gram // step
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchors = []
             for p in batch.column(4).to_pylist():
-                data = np.frombuffer(p, np.uint8)
-                prefix = prefix_hash(data)
-                n = len(data)
-                _, down = textkit._powers(n + 1)
-                grams = mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
+                data = _letters(np.frombuffer(p, np.uint8), step)
+                _, grams = _grams(data, gram)
                 # the anchor is in all strings of the segment: the least of the grams that they share
                 a, b = len(data) - length, length - gram
                 high = grams[a : b + 1] >> np.uint64(_PLACE)
-                anchors.append(a + int(np.argmin(high)))
+                anchors.append(step * (a + int(np.argmin(high))))
             last = batch.column(3).to_numpy() - batch.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(last.astype(np.int32)), pa.array(anchors, pa.int32()), batch.column(4)], ["h", "key", "base", "last", "anchor", "piece"])
 
@@ -381,7 +409,7 @@ def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wo
     rows = keyed(docs.select("doc_id", "text"))
     texts = rows.select("key", "text")
     if words:
-        coded = spans(texts, length=CODE * words, gram=CODE * max(1, words // 4), view=_as_codes)
+        coded = spans(texts, length=CODE * words, gram=CODE * max(1, words // 4), step=CODE, view=_as_codes)
         runs = spans(marked_in(texts, "key", coded.select("key"), "likely"), length=length, gram=gram, view=_may_repeat(words, length)).withColumn("coded", F.lit(False)).union(coded.withColumn("coded", F.lit(True)))
     else:
         runs = spans(texts, length=length, gram=gram).withColumn("coded", F.lit(False))
@@ -490,7 +518,7 @@ def remove_passages(docs: DataFrame, *, words: int = WORDS, length: int = LENGTH
     names = docs.columns
     rows = keyed(docs, "_key")
     keyed_rows = rows.select(F.col("_key").alias("key"), "text")
-    coded = spans(keyed_rows, length=CODE * words, gram=CODE * max(1, words // 4), view=_as_codes)
+    coded = spans(keyed_rows, length=CODE * words, gram=CODE * max(1, words // 4), step=CODE, view=_as_codes)
     plain = spans(keyed_rows, length=length, gram=gram, view=_not_wordy(words, length))
     runs = coded.withColumn("coded", F.lit(True)).union(plain.withColumn("coded", F.lit(False)))
     per = runs.groupBy(F.col("key").alias("_key2")).agg(F.collect_list(F.struct("coded", "lo", "hi")).alias("_runs"))

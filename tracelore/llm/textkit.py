@@ -206,10 +206,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash, one longer than the data; for ``span_hash``."""
+    """Running polynomial hash of bytes or 64-bit letters, one longer than the data; for ``span_hash``."""
     up, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=out[1:])
+    np.cumsum((_CODES[data] if data.dtype == np.uint8 else mix(data)) * up[: len(data)], out=out[1:])
     return out
 
 
